@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DIM, SAMPLE, EPOCHS, BATCH, RATE, DECAY, THRESHOLD, CACHE = 1 << 18, 8192, 12, 128, 0.08, 1e-4, 0.5, 400_000
+DIM, SAMPLE, EPOCHS, BATCH, RATE, DECAY, THRESHOLD, CACHE, FEWEST_DOCS = 1 << 18, 8192, 12, 128, 1.0, 1e-3, 0.5, 400_000, 8
 SYMBOLS = frozenset(b"#*$%&|<>!")
 
 
 def word_features(word: bytes) -> list[int]:
     low = word.lower()
-    out = [crc32(b"w" + low), crc32(b"4" + low[:4]), crc32(b"5" + low[:5]), crc32(b"6" + low[:6]), crc32(b"e" + low[-2:])]
+    out = [crc32(b"w" + low), crc32(b"4" + low[:4]), crc32(b"5" + low[:5]), crc32(b"e" + low[-2:])]
     if len(word) > 1 and low != word and word.upper() == word:
         out.append(crc32(b"capitals"))
     if word[-1] in SYMBOLS:
@@ -67,12 +67,16 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 42) -> Ordin
     if not rows:
         return Ordinal(w.astype(np.float32), (-10.0, -9.0))
     y = np.array([r[0] for r in rows])
+    df = np.bincount(np.concatenate([r[1] for r in rows]), minlength=DIM)
+    rare = np.where(df >= FEWEST_DOCS, np.log((1 + len(rows)) / (1 + df)) + 0.1, 0)  # features of few documents count for more, those of hardly any not at all
+    kept, kept_theta, n_kept = np.zeros(DIM), np.zeros(2), 0
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
             ids, values = np.concatenate([rows[i][1] for i in pick]), np.concatenate([rows[i][2] for i in pick])
+            values = values * rare[ids]
             owner = np.repeat(np.arange(len(pick)), [len(rows[i][1]) for i in pick])
             score = np.bincount(owner, values * w[ids], minlength=len(pick))
             gap = math.exp(theta[1])
@@ -82,13 +86,15 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 42) -> Ordin
             d1 = np.select([grade == 0, grade == 1], [s1, -s1 * (1 - s1) / mid], 0.0)
             d2 = np.select([grade == 0, grade == 1], [0.0 * s1, s2 * (1 - s2) / mid], -(1 - s2))
             grad = np.bincount(ids, values * d[owner], minlength=DIM) / len(pick) - DECAY * w
-            touched = np.unique(ids)
-            g2[touched] += grad[touched] ** 2
-            w[touched] += RATE * grad[touched] / np.sqrt(g2[touched])
+            g2 += grad**2
+            w += RATE * grad / np.sqrt(g2)
             tg = np.array([(d1 + d2).mean(), d2.mean() * gap])
             tg2 += tg**2
             theta += RATE * tg / np.sqrt(tg2)
-    return Ordinal(w.astype(np.float32), (float(theta[0]), float(theta[0] + math.exp(theta[1]))))
+            if epoch >= EPOCHS // 2:  # the mean of the later steps
+                kept, kept_theta, n_kept = kept + w, kept_theta + theta, n_kept + 1
+    w, theta = kept / n_kept, kept_theta / n_kept
+    return Ordinal((w * rare).astype(np.float32), (float(theta[0]), float(theta[0] + math.exp(theta[1]))))
 
 
 def _vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
