@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, split_words, table
+from .common import components, discard, materialize, split_words, table, with_row_id
 
 SMALL, PIVOTS, SEED = 24, 8, 42
 #: Odd multipliers that derive further lanes from a shingle's hash (the splitmix64 finaliser).
@@ -166,8 +166,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
     """The document with the smallest id of every component, whole; of rows with that same id one stays. Rows without an id stay if
     no row with an id is in their component, one for each component, of which the first by text is taken."""
     found = near_duplicates(docs, id_col, **how)
-    keep = found.groupBy("component").agg(F.count("*").alias("n")).where("component is not null").select(F.col("component").alias(id_col))
-    ided = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    rows = with_row_id(docs)
+    low = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("component")).agg(F.min("rid").alias("rid"))
+    keep = low.join(found.select("component").distinct(), "component", "left_semi").select("rid")
+    ided = rows.join(keep, "rid", "left_semi")
     lone = docs.where(F.col(id_col).isNull())
     if lone.isEmpty():
         return ided.select(docs.columns)
