@@ -256,9 +256,9 @@ def exists_flag(spark, d):
     return classified_orders(spark, d).select(F.col("ROWID").alias("o_orderkey"), "has_attachment")
 
 
-@query(f"{ORDER_CTES} SELECT k AS o_orderkey, chat AS chat_rowid FROM m")
+@query(f"{ORDER_CTES} SELECT k AS o_orderkey, chat AS chat_rowid FROM m WHERE chat IS NOT NULL")
 def min_id_subquery(spark, d):
-    return classified_orders(spark, d).select(F.col("ROWID").alias("o_orderkey"), "chat_rowid")
+    return classified_orders(spark, d).select(F.col("ROWID").alias("o_orderkey"), "chat_rowid").where("chat_rowid is not null")
 
 
 @query(f"{ORDER_CTES} SELECT grp AS is_group, count(*) AS n FROM m GROUP BY 1")
@@ -266,7 +266,7 @@ def group_flag(spark, d):
     return classified_orders(spark, d).groupBy("is_group").agg(F.count("*").alias("n"))
 
 
-@query(f"{ORDER_CTES}, y AS (SELECT *, coalesce(CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 3 <> 0 THEN c_name END, CASE WHEN o_custkey <> 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'unknown' END) AS who FROM x LEFT JOIN customer ON c_custkey = o_custkey WHERE disposition = 'retained') SELECT {_hmac("('g' || k)", 'message')} AS message_id, {_hmac("coalesce(CAST(chat AS VARCHAR), 'unknown')", 'chat')} AS chat_id, 1678307200000000000 AS timestamp_ns, CASE WHEN own THEN 'me' ELSE 'other' END AS sender_role, {_hmac("CASE WHEN own THEN 'me' ELSE who END", 'participant')} AS participant_id, att AS has_attachment, grp AS is_group, 'unknown' AS service FROM y")
+@query(f"{ORDER_CTES}, y AS (SELECT *, coalesce(CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 3 <> 0 THEN c_name END, CASE WHEN o_custkey <> 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'unknown' END) AS who FROM x LEFT JOIN customer ON c_custkey = o_custkey WHERE disposition = 'retained') SELECT {_hmac("('g' || k)", 'message')} AS message_id, {_hmac("CASE WHEN chat <> 0 THEN CAST(chat AS VARCHAR) ELSE 'unknown' END", 'chat')} AS chat_id, 1678307200000000000 AS timestamp_ns, CASE WHEN own THEN 'me' ELSE 'other' END AS sender_role, {_hmac("CASE WHEN own THEN 'me' ELSE who END", 'participant')} AS participant_id, att AS has_attachment, grp AS is_group, 'unknown' AS service FROM y")
 def canonical_messages(spark, d):
     return extract.canonical(classified_orders(spark, d), KEY).drop("text")
 
