@@ -1,0 +1,263 @@
+"""Small cases with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain Python."""
+
+import math
+import random
+import zlib
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chatloom.llm import line_dedup, line_rules, merkle, mixing, mtree, packing, pitman_yor, quality, simhash, url_filter
+
+LONG = " ".join(f"long{i % 977}" for i in range(6000))
+DOCS = [(1, "a b c d"), (2, None), (3, ""), (4, "A B\tC d"), (None, "x y z"), (5, "x y z"), (5, "x y z"), (6, LONG), (7, "é ü\n\nß"), (8, " \n ")]
+SCHEMA = "doc_id long, text string, source string, rid long, key string, node long, n long, h string, tokens string"
+
+
+def frame(spark, rows, sources=("b", None, "a")):
+    """Docs with columns named like those inside the operators."""
+    return spark.createDataFrame([(d, t, sources[i % len(sources)], 0, "k", 1, 2, "h", "t") for i, (d, t) in enumerate(rows)], SCHEMA)
+
+
+def test_line_dedup(spark):
+    line = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    passage = "\n".join([line(1, 30), line(2, 30), "", line(3, 30)])
+    rows = [(2, "own two\n" + passage + "\nend"), (1, "own one\n" + passage), (3, line(1, 30)), (4, line(4, 60)), (4, line(4, 60)), (None, line(5, 60)), (5, line(5, 60)), (6, None), (7, "")]
+    out = line_dedup.dedup_lines(frame(spark, rows))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.n_removed))
+    assert out.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_removed"]
+    assert got[1] == [("own one\n" + passage, 0)] and got[2] == [("own two\nend", 4)] and got[3] == [(line(1, 30), 0)]
+    assert sorted(got[4]) == [("", 1), (line(4, 60), 0)] and got[5] == [("", 1)] and got[6] == [(None, 0)] and got[7] == [("", 0)]
+    assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_simhash_covers_and_links(spark):
+    for radius, used in ((2, 64), (4, 48)):
+        masks, rng = simhash.covering_masks(radius, used), random.Random(1)
+        assert len(masks) == 2 ** (radius + 1) - 1
+        for _ in range(300):
+            x = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(not x & m for m in masks)
+    got = {(r.doc, r.component) for r in simhash.near_duplicates(frame(spark, DOCS)).collect()}
+    assert got == {(1, 1), (4, 1), (2, 2), (3, 2), (8, 2), (None, 5), (5, 5), (6, 6), (7, 7)}
+    assert simhash.near_duplicates(frame(spark, DOCS).limit(0)).count() == 0
+    kept = simhash.drop_near_duplicates(frame(spark, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7] and kept.columns == frame(spark, DOCS).columns
+
+
+@pytest.mark.parametrize("lanes", [1, 4])
+def test_simhash_crowds(spark, lanes):
+    """A crowd of near fingerprints, more than a bucket compares pair by pair."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(lanes)]
+    words = {tuple(simhash._signed(b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(2)))) for b in base) for _ in range(400)}
+    words |= {tuple(simhash._signed(rng.getrandbits(64)) for _ in range(lanes)) for _ in range(60)}
+    nodes = sorted(words)
+    df = spark.createDataFrame([(i, list(w)) for i, w in enumerate(nodes)], "node long, fp array<long>")
+    most = 2 if lanes == 1 else 8
+    root = list(range(len(nodes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(pairs):
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(x) for x in range(len(nodes))]
+
+    got = join([(r.a, r.b) for r in simhash.links(df, 2 if lanes == 1 else 4, lanes, 64 if lanes == 1 else 48, most).collect()])
+    root = list(range(len(nodes)))
+    dist = lambda x, y: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x, y, strict=True))
+    want = join([(i, j) for i in range(len(nodes)) for j in range(i) if dist(nodes[i], nodes[j]) <= most])
+    assert got == want
+
+
+def test_mixing(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.randrange(1, 60))) for i in range(300)] + [(400, None), (401, "")]
+    out = mixing.mix(frame(spark, rows)).collect()
+    size = {i: len((t or "").split()) for i, t in rows}
+    total = sum(size.values())
+    targets = {r.source_size: r.target for r in out}
+    assert all(r["size"] == size[r.doc] and r.copies * r["size"] <= 2 * r["size"] for r in out) and abs(sum(targets.values()) - 1.5 * total) < 1e-6
+    for s, t in targets.items():
+        assert abs(sum(r.copies * r["size"] for r in out if r.source_size == s) - t) <= 1 and t <= 2 * s + 1e-9
+    assert sorted(out) == sorted(mixing.mix(frame(spark, rows)).collect()) and mixing.mix(frame(spark, rows).limit(0)).count() == 0
+    assert mixing.take_mix(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
+def test_fit_lengths():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        lengths = np.unique(rng.integers(1, 40, size=rng.integers(1, 9)))
+        counts = rng.integers(1, 6, size=len(lengths))
+        total = int((lengths * counts).sum())
+        budget = int(rng.integers(0, total + 3))
+        take = mixing.fit_lengths(lengths, counts, budget)
+        assert (take <= counts).all() and (take >= 0).all()
+        reach = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            reach = {x + k * n for x in reach for k in range(c + 1)}
+        got = int((take * lengths).sum())
+        assert got <= budget and (budget > 2 * lengths[-1] or got == max(x for x in reach if x <= budget))
+
+
+def test_packing_round_trip(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    odd = ["a  b\n c", "  x", "don't  we'll", "tab\t a \t b", "end ", "", None, "<|endoftext|> a", "x \x1c y", "é́ \x85 z 12 3.4", LONG, "a b", "a\nb c\nd e"]
+    for x in odd:
+        assert np.frombuffer(packing.token_bytes(x, path), dtype="<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+    pieces = packing.pack(frame(spark, list(enumerate(odd))), path).collect()
+    for i, x in enumerate(odd):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        mine = sorted((p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == i)
+        assert [m[0] for m in mine] == [sum(m[1] for m in mine[:k]) for k in range(len(mine))] and sum(m[1] for m in mine) == len(ids)
+        assert all(c == crc32(np.array(ids[s : s + n], dtype="<u4").tobytes()) for s, n, c in mine)
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for s in by.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))]
+        n = sum(x for _, x in s)
+        assert n <= 2048 and n & (n - 1) == 0  # full, or a power of two: no padding
+    assert packing.pack(frame(spark, DOCS).limit(0), path).count() == 0
+    plan, n = packing.plan_block([700] * 50 + [5] * 20)
+    cost = Counter()
+    for _, _, size, s, _ in plan:
+        cost[s] += size
+    assert sum(cost.values()) == 700 * 50 + 100 and n == len(cost)
+
+
+def labelled(spark, n=400):
+    rng, vocab = random.Random(4), [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        kind = i % 4
+        words = rng.choices(vocab, k=80)
+        if kind == 0:
+            words = [w.upper() + "!!" for w in words]
+        if kind == 1:
+            words[::12] = ["vile" + rng.choice("abc")] * len(words[::12])
+        rows.append((i, ". ".join(" ".join(words[a : a + 10]).capitalize() + "." if kind else " ".join(words[a : a + 10]) for a in range(0, 80, 10)).replace(". ", ".\n")))
+        labels.append((i, int(kind > 0), int(kind == 1)))
+    return rows, spark.createDataFrame([*labels, (None, 1, 0), (9999, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_quality_held_out(spark):
+    rows, labels = labelled(spark)
+    docs = frame(spark, rows + DOCS[1:3])
+    model = quality.train(docs, labels.where("doc_id < 250 or doc_id is null"))
+    out = quality.grade(docs, model)
+    kept = {r.doc_id: r.kept for r in out.collect() if r.n_words}
+    held = range(250, 400)
+    assert np.mean([kept[i] == (i % 4 > 1) for i in held]) > 0.95 and all(0 <= r.clean <= r.expected_grade <= 2 for r in out.collect())
+    assert [r.kept for r in out.where("n_words = 0").collect()] == [False, False]
+    assert quality.train(docs, labels.limit(0)).weights.sum() == 0 and quality.grade(docs.limit(0), model).count() == 0
+
+
+def brute_repeats(words):
+    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    return len({i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)})
+
+
+def test_line_rules(spark):
+    rng = random.Random(6)
+    for n in (0, 7, 8, 9, 40, 200):
+        words = [rng.choice("ab") for _ in range(n)]
+        with np.errstate(over="ignore"):
+            assert line_rules.repeated_words(words) == brute_repeats(words)
+    rows, labels = labelled(spark)
+    docs = frame(spark, rows + DOCS)
+    field = line_rules.train(docs, labels)
+    out = {r.doc_id: r for r in line_rules.apply_rules(docs, field).collect()}
+    assert np.mean([out[i].kept == (i % 4 > 0) for i in range(100, 400)]) > 0.95
+    assert line_rules.apply_rules(docs.limit(0), field).count() == 0
+    empty = line_rules.apply_rules(docs.where("text is null"), line_rules.train(docs, labels.limit(0))).first()
+    assert (empty.n_words, empty.base_failed, empty.kept) == (0, True, False)
+    feats = [[i % 3, 20] for i in range(5)]
+    best = max(range(32), key=lambda m: (lambda y: field.start[y[0]] + sum(field.emit[feats[i]].sum() * y[i] for i in range(5)) + sum(field.move[y[i], y[i + 1]] for i in range(4)))([m >> i & 1 for i in range(5)]))
+    assert field.decode(feats) == [best >> i & 1 for i in range(5)]
+
+
+def test_mtree_exact(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(40)]
+    odd = [(2000, None), (2001, [None] * 8), (2002, [math.nan] * 8), (2003, [math.inf] * 8), (2004, [1.0, 2.0]), (2006, [1.0, 1.0]), (0, vectors[0][1])]
+    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("tree", F.lit(2))
+    got = sorted(mtree.top_k(df, F.col("id") % 20 == 4).collect())
+    ints = {i: np.floor(256 * np.array(v)) for i, v in vectors + odd[4:6]}
+    want = []
+    for q in (i for i in ints if i % 20 == 4):
+        top = sorted(((-int(ints[q] @ x), i) for i, x in ints.items() if i != q and len(x) == len(ints[q])))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(top)]
+    assert [tuple(r) for r in got] == sorted(want)
+    assert mtree.top_k(df.limit(0), F.col("id") % 2 == 0).count() == 0
+
+
+def test_urls(spark):
+    known = {(0, 4): -5.0, (4, 4): -6.0, (0, 3): -5.0}
+    assert url_filter.best_split("freebets", known, -20.0) == ["free", "bets"] and url_filter.best_split("zqfree", {(2, 4): -3.0}, -9.0) == ["zq", "free"]
+    rows = [(1, "http://WWW.Example.com/en/x?q#f"), (2, "https://a.example.com/en/"), (3, "http://b.net/es/1"), (4, "http://net/fr/"), (5, "http://x.org"), (6, None), (7, "no scheme"), (8, "http://free-casino.org/Play"), (9, "http://y.com?x"), (9, "http://a.com/b"), (None, "http://xnet/es/")]
+    df = spark.createDataFrame([(i, u, "<title>free news</title>", 1, "v") for i, u in rows], "page_id long, url string, html string, n long, verdict string")
+    out = url_filter.judge_urls(df).collect()
+    got = {(r.page_id, r.host, r.path): (r.rule, r.verdict) for r in out}
+    assert len(out) == len(rows) and got[1, "www.example.com", "/en/x"] == ("www.example.com/en/", "allow") and got[2, "a.example.com", "/en/"] == ("example.com/en/", "block")
+    assert got[3, "b.net", "/es/1"] == ("net/es/", "block") and got[4, "net", "/fr/"] == ("net/fr/", "block") and got[9, "a.com", "/b"] == ("com/", "allow")
+    assert got[6, "", ""] == (None, "allow") and got[7, "", ""] == (None, "allow") and got[8, "free-casino.org", "/Play"] == (None, "block")
+    assert got[9, "y.com", ""][0] is None and got[None, "xnet", "/es/"][0] is None
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
+
+
+def test_merkle(spark):
+    rows = [(i, f"u{i}", f"p{i}") for i in range(700)] + [(None, None, None), (3, "u3", "p3")]
+    a = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("node", F.lit("x"))
+    b = a.where("page_id is null or page_id <> 9").withColumn("html", F.when(F.col("page_id") == 300, "bad").otherwise(F.col("html"))).unionByName(a.where("page_id = 5"))
+    got = sorted((r.position, r.status) for r in merkle.fixity(merkle.archive(a), merkle.archive(b)).collect())
+    assert got == [(5, "count"), (9, "missing"), (300, "corrupt")]
+    assert merkle.fixity(merkle.archive(a), merkle.archive(a)).count() == 0 and merkle.fixity(merkle.archive(a.limit(0)), merkle.archive(a.limit(0))).count() == 0
+    x, y = merkle.tree(merkle.archive(a)), merkle.tree(merkle.archive(a.repartition(7)))
+    assert sorted(r.hash for r in x[-1].collect()) == sorted(r.hash for r in y[-1].collect()) and merkle.audit(x, y)[1] == [2]
+    assert merkle.fixity(merkle.archive(a), merkle.archive(a.limit(0))).count() == 701
+
+
+def test_pitman_yor(spark):
+    rng = random.Random(8)
+    follow = {"a": "b", "b": "c", "c": "the", "the": "a"}  # a context that tells something: words drawn alone would leave nothing to learn
+    rows = list(DOCS)
+    for i in range(100, 300):
+        words = ["a"]
+        for _ in range(29):
+            words.append(follow[words[-1]] if rng.random() < 0.8 else rng.choice("abc"))
+        rows.append((i, " ".join(words)))
+    out = pitman_yor.score_texts(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [*(t or "").encode().lower().split(), b" end"]
+    c = Counter(w for d, t in rows if not held(d) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((d or -1, held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for d, t in rows)
+    assert sorted((r.doc or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
+    many = [r for r in out if r.doc and r.doc >= 100 and r.held_out]
+    assert sum(r.score for r in many) > sum(r.base_score for r in many) and all(r.score < 0 for r in out)
+    assert pitman_yor.score_texts(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_seats():
+    rng = np.random.default_rng(1)
+    c = np.array([0, 1, 2, 50, 1000])
+    t = np.mean([pitman_yor.reseat(c, np.full(5, 0.5), 0.5, rng) for _ in range(200)], axis=0)
+    assert t[0] == 0 and t[1] == 1 and 1 < t[2] < 1.6 and t[2] < t[3] < t[4] < 60
