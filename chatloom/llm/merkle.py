@@ -3,7 +3,8 @@
 A record's bytes are a WARC response block; its digest is SHA-256 over header and payload. Records are leaves in archive order: the position of a record is the number that
 the archive's manifest gives it, so a lost record shifts nothing. A node covers an ordered range of 256^h positions; its hash is SHA-256 over its children's
 hashes in order, each after its place among the siblings. The tree goes on below a position by the digest's hex digits, so equal positions
-and repeated records make no large group: a node has at most 256 children, a leaf holds digests and how often they occur.
+and repeated records make no large group: a node has at most 256 children, a leaf holds digests and how often they occur. Above the lowest
+node that holds all records there are only chains of only children, which are not built. Both replicas are built in one pass.
 
 An audit compares the roots of two replicas and descends, level by level, only into nodes whose hashes differ.
 """
@@ -33,33 +34,61 @@ def address(position: Column, digest: Column) -> Column:
     return F.concat(place, F.substring(digest, 1, LEAF - POSITION))
 
 
-def tree(records: DataFrame, tag: str = "tree") -> list[DataFrame]:
-    """Levels of the tree over records (position, digest, bytes), leaves first: (node, hash, records, bytes). The root's node is '0' or '1'
-    by the mark of null; each level is written, so that an audit reads what it needs and no more."""
-    leaf = records.groupBy(address(F.col("position"), F.col("digest")).alias("node"), "digest").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
-    leaf = leaf.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("digest", "records"))).alias("d"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+def _levels(records: DataFrame, keys: list[str], tag: str) -> list[DataFrame]:
+    """Levels of the trees over records (keys, position, digest, bytes), one tree for each value of keys: (keys, node, hash, records, bytes)."""
+    leaf = records.groupBy(*keys, address(F.col("position"), F.col("digest")).alias("node"), "digest").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"))
+    leaf = leaf.groupBy(*keys, "node").agg(F.sort_array(F.collect_list(F.struct("digest", "records"))).alias("d"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
     text = F.array_join(F.transform("d", lambda x: F.concat_ws(":", x["digest"], x["records"].cast("string"))), ",")
-    levels = [materialize(leaf.select("node", F.sha2(text, 256).alias("hash"), "records", "bytes"), tag)]
+    levels = [materialize(leaf.select(*keys, "node", F.sha2(text, 256).alias("hash"), "records", "bytes"), tag)]
     for width in LEVELS[1:]:
-        up = levels[-1].groupBy(F.substring("node", 1, width).alias("up")).agg(F.sort_array(F.collect_list(F.struct(F.substring("node", width + 1, STEP).alias("k"), "hash"))).alias("c"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+        if _at_top(levels[-1]):
+            break
+        up = levels[-1].groupBy(*keys, F.substring("node", 1, width).alias("up")).agg(F.sort_array(F.collect_list(F.struct(F.substring("node", width + 1, STEP).alias("k"), "hash"))).alias("c"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
         joined = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["k"], x["hash"])), ",")
-        levels.append(materialize(up.select(F.col("up").alias("node"), F.sha2(joined, 256).alias("hash"), "records", "bytes"), tag))
+        levels.append(materialize(up.select(*keys, F.col("up").alias("node"), F.sha2(joined, 256).alias("hash"), "records", "bytes"), tag))
     return levels
 
 
+def _at_top(level: DataFrame) -> bool:
+    """Whether at most one node is left under each mark of null, so that all levels above are chains of only children."""
+    mark = F.substring("node", 1, 1)
+    ends = [f(F.when(mark == m, F.col("node"))) for m in "01" for f in (F.min, F.max)]
+    a, b, c, d = level.agg(*ends).first()
+    return a == b and c == d
+
+
+def _lift(level: DataFrame, width: int) -> DataFrame:
+    """The level above one of only children: each node's hash is over that of its one child. No shuffle."""
+    up = F.sha2(F.concat_ws(":", F.substring("node", width + 1, STEP), F.col("hash")), 256)
+    return level.select(F.substring("node", 1, width).alias("node"), up.alias("hash"), "records", "bytes")
+
+
+def tree(records: DataFrame, tag: str = "tree") -> list[DataFrame]:
+    """Levels of the tree over records (position, digest, bytes), leaves first: (node, hash, records, bytes). The last level has one root
+    for each mark of null, at the lowest node that holds all records; each level is written, so that an audit reads what it needs and no more."""
+    return _levels(records, [], tag)
+
+
 def audit(left: list[DataFrame], right: list[DataFrame]) -> tuple[DataFrame, list[int]]:
-    """The leaves at which two trees differ, as (node, left_hash, right_hash), and how many nodes were compared at each level, from the top."""
+    """The leaves at which two trees differ, as (node, left_hash, right_hash), and how many nodes were compared at each level, from the top.
+    A tree that has its roots lower than the other is lifted to that height."""
+    left, right = list(left), list(right)
+    for low, high in ((left, right), (right, left)):
+        while len(low) < len(high):
+            low.append(_lift(low[-1], LEVELS[len(low)]))
     compared, bad = [], None
     for a, b in zip(reversed(left), reversed(right), strict=True):
+        sides = a.select("node", F.col("hash").alias("l"), F.lit(None).cast("string").alias("r")).unionByName(b.select("node", F.lit(None).cast("string").alias("l"), F.col("hash").alias("r")))
         if bad is not None:
-            a, b = (x.withColumn("up", F.expr(f"substring(node, 1, length(node) - {STEP})")).join(bad, "up", "left_semi") for x in (a, b))
-        both = a.select("node", F.col("hash").alias("left_hash")).join(b.select("node", F.col("hash").alias("right_hash")), "node", "full")
-        both = materialize(both, "audit")
-        differing = both.where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
-        compared.append(both.count())
+            sides = sides.withColumn("up", F.expr(f"substring(node, 1, length(node) - {STEP})")).join(bad, "up", "left_semi")
+        both = materialize(sides.groupBy("node").agg(F.max("l").alias("left_hash"), F.max("r").alias("right_hash")), "audit")
+        unlike = ~F.col("left_hash").eqNullSafe(F.col("right_hash"))
+        n, n_bad = both.agg(F.count("*"), F.count_if(unlike)).first()
+        compared.append(n)
+        differing = both.where(unlike)
         bad = differing.select(F.col("node").alias("up"))
-        if differing.isEmpty():
-            return differing, compared
+        if not n_bad:
+            break
     return differing, compared
 
 
@@ -71,15 +100,15 @@ def fixity(left: DataFrame, right: DataFrame) -> DataFrame:
     its own; a position with several records gives a row for each that is not shared.
     """
     sides = []
-    trees = [tree(x, f"tree-{n}") for x, n in ((left, "a"), (right, "b"))]
-    bad, _ = audit(*trees)
+    levels = _levels(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), ["side"], "tree")
+    bad, _ = audit(*([x.where(F.col("side") == n).drop("side") for x in levels] for n in (0, 1)))
     for x, name in ((left, "left"), (right, "right")):
         own = x.withColumn("node", address(F.col("position"), F.col("digest"))).join(bad.select("node"), "node", "left_semi")
         sides.append(own.groupBy("position", "digest").agg(F.count("*").alias(name)))
     both = sides[0].join(sides[1].withColumnsRenamed({"position": "p", "digest": "d"}), F.col("position").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "full")
     both = both.select(F.coalesce("position", "p").alias("position"), F.coalesce("digest", "d").alias("digest"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right")).where("left <> right")
     both = materialize(both, "differences")
-    for level in trees[0] + trees[1]:
+    for level in levels:
         discard(level)
     one = both.groupBy("position").agg(F.count("*").alias("n"), F.sum("left").alias("l"), F.sum("right").alias("r"), F.min(F.when(F.col("left") > 0, F.col("digest"))).alias("left_digest"), F.min(F.when(F.col("right") > 0, F.col("digest"))).alias("right_digest"))
     swapped = one.where("n = 2 and l = 1 and r = 1 and left_digest is not null and right_digest is not null")
