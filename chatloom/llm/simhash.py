@@ -12,6 +12,10 @@ fingerprints are compared pair by pair. Members of larger ones ("crowded") are l
   differs from either in at most t bits; each crowded fingerprint emits those points, and equal points link (exact);
 * otherwise the members of a crowded bucket are compared with PIVOTS of them, those that no pivot
   reaches go to the next round with new pivots, until the rest is small enough for pairs.
+
+With a `similarity`, fingerprints are of sets of shingles, and the links found are candidates only: each is checked by the exact
+Jaccard similarity of the two shingle sets. Every text's closest candidate is checked first; a candidate whose ends these links
+already connect would add nothing to the components, and only the others are checked after that.
 """
 
 from __future__ import annotations
@@ -43,6 +47,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((h(buf[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
+def _hashes(text: str | None, words: int, distinct: bool) -> np.ndarray:
+    h = shingle_hashes(text, words)
+    return np.unique(h) if distinct else h
+
+
 def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
     """Majority bits of the hashes, 64 to a lane, as signed longs. Lane 0 takes the hashes as they are."""
     out = []
@@ -60,13 +69,13 @@ def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
-    """(doc, fp array of long); a text without words has all bits zero."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int, distinct: bool = False) -> DataFrame:
+    """(doc, fp array of long); a text without words has all bits zero. distinct: repeats of a shingle do not count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for b in batches:
-                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(shingle_hashes(t, words), lanes) for t in b["text"]]})
+                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(_hashes(t, words, distinct), lanes) for t in b["text"]]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, "doc long, fp array<long>")
 
@@ -142,19 +151,68 @@ def links(nodes: DataFrame, radius: int, lanes: int, used: int, most: int) -> Da
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, radius: int = 2, used: int = 64, most: int | None = None) -> DataFrame:
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+    """(node, hs): the distinct shingle hashes of each node's text, read from its document of the smallest id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for b in batches:
+                sets = [_hashes(t, words, True) for t in b["text"]]
+                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(h, lanes) for h in sets], "hs": [h.view(np.int64) for h in sets]})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    ids = nodes.select(F.col("low").alias("i")).distinct()
+    rows = rows.join(ids, F.col("doc").eqNullSafe(F.col("i")), "left_semi").mapInPandas(run, "doc long, fp array<long>, hs array<long>")
+    rows = rows.withColumn("node", F.xxhash64("fp")).join(nodes.select("node"), "node", "left_semi")
+    return rows.groupBy("node").agg(F.min_by("hs", F.struct(F.col("doc").isNull(), "doc", F.xxhash64("hs"))).alias("hs"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity."""
+    x = pairs.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
+    x = x.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a")
+    both, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+    return x.where(both >= similarity * (total - both) - 1e-9).select("a", "b")
+
+
+def checked_links(edges: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int, similarity: float) -> DataFrame:
+    """Links (a, b) among the candidates `edges` of at least the given similarity, as many as connect what all such links would."""
+    touched = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(_shingle_sets(docs, nodes.join(touched, "node", "left_semi"), id_col, text_col, words, lanes), "sets")
+    x = edges.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    x = materialize(x.select("a", "b", distance("fa", "fb").alias("d")), "candidates")
+    ends = x.select("a", "b", "d").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    closest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    first = materialize(_similar(closest, sets, similarity), "found")
+    root = materialize(components(first), "roots")
+    rest = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(closest, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(root.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    out = materialize(first.unionByName(_similar(rest, sets, similarity)), "found")
+    for old in (sets, x, first, root):
+        discard(old)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, radius: int = 2, used: int = 64, most: int | None = None, similarity: float | None = None) -> DataFrame:
     """(doc, fp, component): component is the smallest id that links reach from the document, its own included.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids share what they reach. A
     null id stays null and is never the smallest; a component of null ids alone has a null component. Ids are read as long.
+    With a similarity (which needs several lanes), links are checked by the exact similarity of the texts' shingle sets.
     """
     most = radius if most is None else most
-    fps = materialize(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
+    if similarity is not None and lanes == 1:
+        raise ValueError("a similarity needs several lanes")
+    fps = materialize(fingerprints(docs, id_col, text_col, words, lanes, similarity is not None), "fingerprints")
     node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc").alias("low")).withColumn("node", node), "nodes")
     same_id = fps.where("doc is not null").select("doc", node.alias("node")).distinct()
     again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("c"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
     edges = links(nodes, radius, lanes, used, most)
+    if similarity is not None:
+        edges = checked_links(edges, nodes, docs, id_col, text_col, words, lanes, similarity)
     edges = edges.unionByName(same_id.join(again, "doc").select("a", F.col("node").alias("b")).where("a <> b"))
     roots = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = roots.groupBy("root").agg(F.min("low").alias("component"))
@@ -175,15 +233,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
         return ided.select(docs.columns)
     alone = found.where("doc is null and component is null").select("fp").distinct()
     text = how.get("text_col", "text")
-    marked = _with_fp(lone, text, how.get("words", 3), how.get("lanes", 1)).join(alone, "fp", "left_semi").dropDuplicates(["fp"])
+    marked = _with_fp(lone, text, how.get("words", 3), how.get("lanes", 1), how.get("similarity") is not None).join(alone, "fp", "left_semi").dropDuplicates(["fp"])
     return ided.select(docs.columns).unionByName(marked.select(docs.columns))
 
 
-def _with_fp(docs: DataFrame, text_col: str, words: int, lanes: int) -> DataFrame:
+def _with_fp(docs: DataFrame, text_col: str, words: int, lanes: int, distinct: bool) -> DataFrame:
     @F.pandas_udf("array<long>")
     def fp(texts: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
-            return pd.Series([lanes_of(shingle_hashes(t, words), lanes) for t in texts])
+            return pd.Series([lanes_of(_hashes(t, words, distinct), lanes) for t in texts])
 
     return docs.withColumn("fp", fp(F.col(text_col)))
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from chatloom.llm import line_dedup, mixing, packing, quality, simhash
 from chatloom.llm.common import materialize, table
 
-#: Near duplicates: shingles of five words, fingerprints of 4 x 64 bits. A similarity (Jaccard) J of equally long texts is a cosine of 2J / (1 + J);
-#: at J = 0.8 the expected share of differing bits is arccos(8 / 9) / pi = 0.151, or 39 of 256, and the estimate strays by about 6.
-NEAR = {"words": 5, "lanes": 4, "radius": 4, "used": 48, "most": 41}
+#: Near duplicates: shingles of five words, a similarity (Jaccard) of 0.8. Candidates come from fingerprints of 6 x 64 bits of the shingle set:
+#: sets of equal size at similarity J have a cosine of 2J / (1 + J), and at J = 0.8 the expected share of differing bits is arccos(8 / 9) / pi = 0.151, or 58
+#: of 384, straying by about 7. Candidates within 80 bits are checked exactly.
+NEAR = {"words": 5, "lanes": 6, "radius": 4, "used": 48, "most": 80, "similarity": 0.8}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
