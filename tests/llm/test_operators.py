@@ -80,6 +80,36 @@ def test_simhash_crowds(spark, lanes):
     assert got == want
 
 
+def test_simhash_similar_sets(spark):
+    """Links by exact similarity: a crowd of edited copies, a pair that shares less than 0.8, repeats that outweigh the rest, nulls."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    texts = [None, "", " \n", "one two", "One  two", "spam " * 200 + "x1 x2 x3 x4 x5 x6 x7", "spam " * 200 + "y1 y2 y3 y4 y5 y6 y7"]
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(300), k % 4):
+            w[at] = f"e{k}x{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:150] + [f"half{i}" for i in range(150)]), " ".join(f"alone{i}" for i in range(40)), LONG, LONG + " end"]
+    rows = list(enumerate(texts)) + [(None, "one two"), (None, "n m")]
+    how = {"words": 5, "lanes": 6, "radius": 4, "used": 40, "most": 96, "similarity": 0.8}
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    low = {r: min(k for k, q in enumerate(root) if q == r) for r in root}
+    got = simhash.near_duplicates(frame(spark, rows), **how).collect()
+    assert {r.doc: r.component for r in got if r.doc is not None} == {k: low[r] for k, r in enumerate(root)}
+    assert sorted((r.component for r in got if r.doc is None), key=str) == [3, None]
+    kept = simhash.drop_near_duplicates(frame(spark, rows), **how)
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, *sorted(set(low.values()))]
+    assert simhash.near_duplicates(frame(spark, rows).limit(0), **how).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(frame(spark, rows), similarity=0.8)
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("w" * rng.randrange(1, 60))) for i in range(300)] + [(400, None), (401, "")]
