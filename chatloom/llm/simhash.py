@@ -13,16 +13,20 @@ fingerprints are compared pair by pair. Members of larger ones ("crowded") are l
 * otherwise the members of a crowded bucket are compared with PIVOTS of them, those that no pivot
   reaches go to the next round with new pivots, until the rest is small enough for pairs.
 
-With a `similarity`, fingerprints are of sets of shingles, and the links found are candidates only: each is checked by the exact
-Jaccard similarity of the two shingle sets. Every text's closest candidate is checked first; a candidate whose ends these links
-already connect would add nothing to the components, and only the others are checked after that. Fingerprints then have one lane
-more, that has no tables. Half of it is the upper half of a text's node, so that most chance meetings in a bucket end there,
-before anything is joined: at a similarity of 0.8 the halves differ in about 5 of 32 bits, chance ones in 16, and 10 are let pass.
+With a `similarity` nothing is estimated: the links are all pairs of texts whose sets of distinct shingles have at least that Jaccard
+similarity. All sets are put into one order of shingles. A set of n can only be that similar to one that shares a shingle with it among the
+first n - ceil(similarity * n) + 1 of both, its prefix (prefix filter), and the places of the first shared one bound how many are shared. Any order does; shingles
+that a sample of texts finds often come last, so that few texts meet by them. Only components are asked for, so pairs already connected
+are not compared. Where over SMALL texts meet by a shingle, some of them (pivots, those with most links first, four times as many each round) are compared with all
+others there that are not connected to them, and only they leave (only texts that could be as similar to one of their own size by it need be pivots): a text that was merely reached by a link stays to be a pivot, as others may be reached
+through it alone. A shingle is done with when all its texts are connected, or pair by pair when SMALL are left.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, materialize, split_words, table, with_row_id
 
-SMALL, PIVOTS, SEED, TOLD = 24, 8, 42, 10
+SMALL, PIVOTS, SEED = 24, 8, 42
+#: For the order of shingles: about so many texts are sampled, and so many shingles at most that OFTEN of them or more have come last.
+SAMPLED, OFTEN, COMMON = 16384, 4, 1 << 18
 #: Odd multipliers that derive further lanes from a shingle's hash (the splitmix64 finaliser).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -49,11 +55,6 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((h(buf[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
-def _hashes(text: str | None, words: int, distinct: bool) -> np.ndarray:
-    h = shingle_hashes(text, words)
-    return np.unique(h) if distinct else h
-
-
 def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
     """Majority bits of the hashes, 64 to a lane, as signed longs. Lane 0 takes the hashes as they are."""
     ones = np.zeros(64 * lanes, dtype=np.int64)
@@ -72,13 +73,13 @@ def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
     return np.packbits(ones * 2 > len(h)).view(">i8").tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int, distinct: bool = False) -> DataFrame:
-    """(doc, fp array of long); a text without words has all bits zero. distinct: repeats of a shingle do not count."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+    """(doc, fp array of long); a text without words has all bits zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for b in batches:
-                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(_hashes(t, words, distinct), lanes) for t in b["text"]]})
+                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(shingle_hashes(t, words), lanes) for t in b["text"]]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, "doc long, fp array<long>")
 
@@ -112,28 +113,15 @@ def _ball(fp: Column, t: int) -> Column:
     return F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), lambda x: x.bitwiseXOR(fp))
 
 
-def _node(lanes: int, checked: bool) -> Column:
-    """One lane names itself; several are hashed, and with a check half the last lane goes into the upper half."""
-    if lanes == 1:
-        return F.col("fp")[0]
-    return F.col("fp")[lanes].bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.xxhash64("fp").bitwiseAND(F.lit((1 << 32) - 1))) if checked else F.xxhash64("fp")
-
-
-def _alike(a: Column, b: Column) -> Column:
-    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= TOLD
-
-
-def links(nodes: DataFrame, radius: int, lanes: int, used: int, most: int, checked: bool = False) -> DataFrame:
-    """Edges (a, b) that connect what lies within `most` bits. nodes: (node, fp), distinct fingerprints; checked: nodes begin with
-    half a lane, by which pairs are sifted first."""
-    meet = _alike if checked else lambda a, b: F.lit(True)
+def links(nodes: DataFrame, radius: int, lanes: int, used: int, most: int) -> DataFrame:
+    """Edges (a, b) that connect what lies within `most` bits. nodes: (node, fp), distinct fingerprints."""
     masks = covering_masks(radius, used)
     keys = [F.xxhash64(F.lit(lane * len(masks) + i), F.col("fp")[lane].bitwiseAND(F.lit(_signed(m)))) for lane in range(lanes) for i, m in enumerate(masks)]
     rows = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = materialize(rows.join(counts, "key"), "buckets")
     groups = member.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("g"))
-    pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.size("g")), lambda y: meet(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     found = _within(groups.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct(), nodes, most)
     crowded = member.where(f"n > {SMALL}")
     if lanes == 1 and most == radius and radius % 2 == 0:
@@ -148,7 +136,7 @@ def links(nodes: DataFrame, radius: int, lanes: int, used: int, most: int, check
         order = F.struct(F.xxhash64("key", "node").alias("o"), F.col("node").alias("a"))
         parts = rest.withColumn("part", F.abs(F.xxhash64("node", F.lit(len(out)))) % PIVOTS)
         pivots = parts.groupBy("key", "part").agg(F.min(order).alias("m")).select("key", F.col("m.a").alias("a"))
-        tried = rest.join(pivots, "key").withColumnRenamed("node", "b").where("a <> b").where(meet(F.col("a"), F.col("b"))).select("key", "a", "b")
+        tried = rest.join(pivots, "key").withColumnRenamed("node", "b").where("a <> b").select("key", "a", "b")
         good = materialize(_within(tried.select("a", "b").distinct(), nodes, most), "found")
         reached = tried.join(good, ["a", "b"]).select("key", F.col("b").alias("node")).unionByName(pivots.select("key", F.col("a").alias("node"))).distinct()
         left = rest.join(reached, ["key", "node"], "left_anti")
@@ -167,20 +155,65 @@ def links(nodes: DataFrame, radius: int, lanes: int, used: int, most: int, check
     return edges
 
 
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+def set_name(h: np.ndarray) -> list[int]:
+    """128 bits that name a set of shingles, as two signed longs; zeros for the empty set."""
+    raw = h.tobytes()
+    return [_signed(xxhash.xxh64_intdigest(raw, SEED + k)) for k in (0, 1)] if len(h) else [0, 0]
+
+
+def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a sample of texts have, ascending, and their counts. They only order shingles: no result depends on them."""
+    step = max(1, docs.count() // SAMPLED)
+    some = docs.select(F.col(text_col).alias("text")).where(F.abs(F.xxhash64("text") % step) == 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"h": np.unique(shingle_hashes(t, words)).view(np.int64)})
+
+    often = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    rows = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def in_order(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct shingles in the one order: those not common, then the common ones by count; by hash in either."""
+    if not len(common):
+        return h
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(doc, fp, size, prefix) by row: the name and size of the text's set of shingles, and the first of them that a similar set must meet."""
+    common = _common(docs, text_col, words)
+    keep = lambda n: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
+            first = [in_order(h, *common)[: keep(len(h))].view(np.int64) for h in sets]
+            yield pd.DataFrame({"doc": b["doc"], "fp": [set_name(h) for h in sets], "size": [len(h) for h in sets], "prefix": first})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc long, fp array<long>, size int, prefix array<long>")
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(node, hs): the distinct shingle hashes of each node's text, read from its document of the smallest id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for b in batches:
-                sets = [_hashes(t, words, True) for t in b["text"]]
-                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(h, lanes + 1) for h in sets], "hs": [h.view(np.int64) for h in sets]})
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
+            yield pd.DataFrame({"fp": [set_name(h) for h in sets], "hs": [h.view(np.int64) for h in sets]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ids = nodes.select(F.col("low").alias("i")).distinct()
-    rows = rows.join(ids, F.col("doc").eqNullSafe(F.col("i")), "left_semi").mapInPandas(run, "doc long, fp array<long>, hs array<long>")
-    rows = rows.withColumn("node", _node(lanes, True)).join(nodes.select("node"), "node", "left_semi")
-    return rows.groupBy("node").agg(F.min_by("hs", F.struct(F.col("doc").isNull(), "doc", F.xxhash64("hs"))).alias("hs"))
+    rows = rows.join(ids, F.col("doc").eqNullSafe(F.col("i")), "left_semi").mapInPandas(run, "fp array<long>, hs array<long>")
+    rows = rows.withColumn("node", F.xxhash64("fp")).join(nodes.select("node"), "node", "left_semi")
+    return rows.groupBy("node").agg(F.any_value("hs").alias("hs"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -191,22 +224,58 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return x.where(both >= similarity * (total - both) - 1e-9).select("a", "b")
 
 
-def checked_links(edges: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int, similarity: float) -> DataFrame:
-    """Links (a, b) among the candidates `edges` of at least the given similarity, as many as connect what all such links would."""
-    touched = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_shingle_sets(docs, nodes.join(touched, "node", "left_semi"), id_col, text_col, words, lanes), "sets")
-    x = edges.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    x = materialize(x.select("a", "b", distance("fa", "fb").alias("d")), "candidates")
-    ends = x.select("a", "b", "d").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    closest = ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    first = materialize(_similar(closest, sets, similarity), "found")
-    root = materialize(components(first), "roots")
-    rest = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(closest, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(root.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    out = materialize(first.unionByName(_similar(rest, sets, similarity)), "found")
-    for old in (sets, x, first, root):
+def _may_be(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sets that share the shingle at these places (pos from 0, size) can be similar, if it is the first in the order that they share. A pair
+    that is similar passes at its first, and need not at others."""
+    shared = F.least(x["size"] - x["pos"], y["size"] - y["pos"])
+    return (x["root"] != y["root"]) & (shared * (1 + similarity) >= similarity * (x["size"] + y["size"]) - 1e-9)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, low, size, prefix)."""
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    member = materialize(rows.join(counts, "key"), "buckets")
+    sets = materialize(_shingle_sets(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"), id_col, text_col, words), "sets")
+    found = materialize(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "found")
+    root, trash = None, [counts, member, sets]
+
+    def rooted(x: DataFrame) -> DataFrame:
+        x = x.select("key", "node", "pos", "size")
+        return x.withColumn("root", F.col("node")) if root is None else x.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return materialize(found.unionByName(_similar(pairs, sets, similarity)), "found")
+
+    # Of a pair that passes _may_be, the smaller set would pass with one of its own place and size too: one of the two at least is strong.
+    strong = (F.col("size") - F.col("pos")) * (1 + similarity) >= 2 * similarity * F.col("size") - 1e-9
+    few, rest, many = [member.where(f"n <= {SMALL}")], member.where(f"n > {SMALL}"), PIVOTS // 2
+    while True:
+        open_ = rooted(rest)
+        n = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.bool_or(strong).alias("s")).where("r0 <> r1 and s").select("key", "n")
+        open_ = materialize(open_.join(n, "key"), "open")
+        trash.append(open_)
+        few.append(open_.where(f"n <= {SMALL}"))
+        crowd = open_.where(f"n > {SMALL}")
+        if crowd.isEmpty():
+            break
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+        degree = ends.groupBy("node").agg(F.count("*").alias("links"))
+        ranked = crowd.where(strong).join(degree, "node", "left").withColumn("part", F.abs(F.xxhash64("node", F.lit(many)) % many))
+        best = F.struct(-F.coalesce("links", F.lit(0)), F.xxhash64("node"), F.struct("node", "pos", "size", "root").alias("x"))  # alike in all buckets
+        pivots = materialize(ranked.groupBy("key", "part").agg(F.min(best).alias("m")).select("key", F.col("m.x").alias("x")), "pivots")
+        tried = crowd.select("key", F.struct("node", "pos", "size", "root").alias("y")).join(pivots, "key").where(_may_be(F.col("x"), F.col("y"), similarity))
+        more = linked(tried.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        rest = crowd.join(pivots.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti")
+        trash += [found, pivots] + ([root] if root is not None else [])
+        found, many = more, 4 * many
+        root = materialize(components(found), "roots")
+    groups = rooted(reduce(DataFrame.unionByName, [x.select("key", "node", "pos", "size") for x in few]))
+    groups = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "pos", "size", "root"))).alias("g"))
+    pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.size("g")), lambda y: _may_be(x, y, similarity)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    out = linked(groups.select(F.explode(pair).alias("p")).select("p.a", "p.b"))
+    for old in trash + [found] + ([root] if root is not None else []):
         discard(old)
     return out
 
@@ -216,22 +285,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids share what they reach. A
     null id stays null and is never the smallest; a component of null ids alone has a null component. Ids are read as long.
-    With a similarity (which needs several lanes), links are checked by the exact similarity of the texts' shingle sets.
+    With a similarity, links are all pairs of that exact similarity of the texts' shingle sets, and fp names the set; lanes (several
+    are asked for), radius, used and most, which are of the search by fingerprints, then change nothing.
     """
     most = radius if most is None else most
     checked = similarity is not None
     if checked and lanes == 1:
         raise ValueError("a similarity needs several lanes")
-    fps = materialize(fingerprints(docs, id_col, text_col, words, lanes + checked, checked), "fingerprints")
-    node = _node(lanes, checked)
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc").alias("low")).withColumn("node", node), "nodes")
+    if checked:
+        fps = materialize(_prefixes(docs, id_col, text_col, words, similarity), "prefixes")
+        nodes = fps.groupBy("fp").agg(F.min("doc").alias("low"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+        fps = fps.select("doc", "fp")
+    else:
+        fps = materialize(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
+        nodes = fps.groupBy("fp").agg(F.min("doc").alias("low"))
+    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
+    nodes = materialize(nodes.withColumn("node", node), "nodes")
     same_id = fps.where("doc is not null").select("doc", node.alias("node")).distinct()
     again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("c"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
-    edges = links(nodes, radius, lanes, used, most, checked)
-    if checked:
-        edges = checked_links(edges, nodes, docs, id_col, text_col, words, lanes, similarity)
+    edges = similar_links(nodes, docs, id_col, text_col, words, similarity) if checked else links(nodes, radius, lanes, used, most)
     edges = edges.unionByName(same_id.join(again, "doc").select("a", F.col("node").alias("b")).where("a <> b"))
-    roots = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = nodes.select("fp", "low", "node").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = roots.groupBy("root").agg(F.min("low").alias("component"))
     named = materialize(roots.join(low, "root").select(F.col("fp"), "component"), "classes")
     return fps.join(named, "fp").select("doc", "fp", "component")
@@ -250,16 +324,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
         return ided.select(docs.columns)
     alone = found.where("doc is null and component is null").select("fp").distinct()
     text = how.get("text_col", "text")
-    checked = how.get("similarity") is not None
-    marked = _with_fp(lone, text, how.get("words", 3), how.get("lanes", 1) + checked, checked).join(alone, "fp", "left_semi").dropDuplicates(["fp"])
+    lanes = None if how.get("similarity") is not None else how.get("lanes", 1)
+    marked = _with_fp(lone, text, how.get("words", 3), lanes).join(alone, "fp", "left_semi").dropDuplicates(["fp"])
     return ided.select(docs.columns).unionByName(marked.select(docs.columns))
 
 
-def _with_fp(docs: DataFrame, text_col: str, words: int, lanes: int, distinct: bool) -> DataFrame:
+def _with_fp(docs: DataFrame, text_col: str, words: int, lanes: int | None) -> DataFrame:
+    """docs with fp; without lanes it names the set of shingles."""
+
     @F.pandas_udf("array<long>")
     def fp(texts: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
-            return pd.Series([lanes_of(_hashes(t, words, distinct), lanes) for t in texts])
+            return pd.Series([lanes_of(h, lanes) if lanes else set_name(np.unique(h)) for h in (shingle_hashes(t, words) for t in texts)])
 
     return docs.withColumn("fp", fp(F.col(text_col)))
 

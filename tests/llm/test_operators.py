@@ -110,6 +110,37 @@ def test_simhash_similar_sets(spark):
         simhash.near_duplicates(frame(spark, rows), similarity=0.8)
 
 
+def brute_components(texts, words, similarity):
+    sets = [frozenset(simhash.shingle_hashes(t, words).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(x & sets[j]) >= similarity * len(x | sets[j]) - 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+NEAR = {"words": 5, "lanes": 6, "radius": 4, "used": 40, "most": 96, "similarity": 0.8}
+
+
+def test_similar_star(spark):
+    """Copies of one text, each of which only the original is similar to: what a pivot reaches is a way to others."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for k in range(500):
+        w = list(base)
+        for at in rng.sample(range(5, 195, 10), 4):
+            w[at] = f"e{k}x{at}"
+        texts.append(" ".join(w))
+    texts.insert(321, " ".join(base))
+    want = brute_components(texts, 5, 0.8)
+    assert len(set(want)) == 1 and len(set(brute_components(texts[:321] + texts[322:], 5, 0.8))) > 100
+    got = simhash.near_duplicates(frame(spark, list(enumerate(texts))), **NEAR).collect()
+    assert [r.component for r in sorted(got, key=lambda r: r.doc)] == want
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("w" * rng.randrange(1, 60))) for i in range(300)] + [(400, None), (401, "")]
