@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from chatloom.llm import line_dedup, mixing, packing, quality, simhash
 from chatloom.llm.common import materialize, table
 
-#: Near duplicates: shingles of five words, a similarity (Jaccard) of 0.8. Candidates come from fingerprints of 7 x 64 bits of the shingle set:
-#: sets of equal size at similarity J have a cosine of 2J / (1 + J), and at J = 0.8 the expected share of differing bits is arccos(8 / 9) / pi = 0.151, or 68
-#: of 448, straying by about 8. Candidates within 96 bits are checked exactly.
+#: Near duplicates: shingles of five words, a similarity (Jaccard) of 0.8, searched exactly. The numbers of the search by fingerprints, lanes to most, change nothing here.
 NEAR = {"words": 5, "lanes": 6, "radius": 4, "used": 40, "most": 96, "similarity": 0.8}
 
 

@@ -141,6 +141,21 @@ def test_similar_star(spark):
     assert [r.component for r in sorted(got, key=lambda r: r.doc)] == want
 
 
+def test_similar_pairs_of_all_lengths(spark):
+    """Pairs at the similarity itself or just below it, from two words to hundreds."""
+    rng = random.Random(3)
+    texts, want = [], []
+    for k in range(240):
+        n = (1, 3, 4, 7, 12, 60, 400)[k % 7]  # shingles
+        words = [f"p{k}w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        more = [f"p{k}m{i}" for i in range(n // 4 + (k % 3 == 0))]
+        texts += [" ".join(words), " ".join(words + more)]
+        want += [2 * k, 2 * k if not more or 5 * n >= 4 * (n + len(more)) else 2 * k + 1]
+    assert want == brute_components(texts, 5, 0.8)
+    got = simhash.near_duplicates(frame(spark, list(enumerate(texts))), **NEAR).collect()
+    assert [r.component for r in sorted(got, key=lambda r: r.doc)] == want
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     rows = [(i, " ".join("w" * rng.randrange(1, 60))) for i in range(300)] + [(400, None), (401, "")]
