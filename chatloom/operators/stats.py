@@ -115,12 +115,31 @@ def select_model(candidates: DataFrame, train_tokens: int, ratio: float = 10.0,
     return c.agg(F.coalesce(best, F.min_by("name", "place")).alias("selected"), (~F.bool_or("eligible")).alias("memorization_prone"), F.lit(train_tokens >= enough).alias("enough_tokens"))
 
 
+def _carried(sizes: DataFrame, pick) -> DataFrame:
+    """(_k, _c): what `pick` takes from the values _v of all blocks before a block. The blocks, one row for 4096 evaluations, are dealt by thousands."""
+    s = sizes.withColumn("_t", F.floor(F.col("_k") / 1024))
+    tops = s.groupBy("_t").agg(pick("_v").alias("_v"))
+    rows, at, parts = [], None, sorted(tops.collect())
+    for t, v in parts:
+        rows.append((t, at))
+        at = v if at is None else at if v is None else (min if pick is F.min else max)(at, v)
+    starts = s.sparkSession.createDataFrame(rows, f"_t long, _a {dict(sizes.dtypes)['_v']}")
+    within = pick("_v").over(W.partitionBy("_t").orderBy("_k").rowsBetween(W.unboundedPreceding, -1))
+    take = F.least if pick is F.min else F.greatest
+    return s.withColumn("_w", within).join(F.broadcast(starts), "_t").select("_k", take("_w", "_a").alias("_c"))
+
+
 def early_stopping(metrics: DataFrame, patience: int, step: str = "step", loss: str = "loss") -> DataFrame:
     """Adds best (so far) and stale (evaluations since a strict improvement), up to the evaluation at which stale reaches patience. metrics is a training
-    log: one row an evaluation."""
-    o = W.orderBy(step)
-    m = metrics.withColumn("_b", F.min(loss).over(o.rowsBetween(W.unboundedPreceding, -1)))
-    m = m.withColumn("improved", F.coalesce(F.col(loss) < F.col("_b"), F.lit(True))).withColumn("_g", F.sum(F.col("improved").cast("int")).over(o))
-    m = m.withColumn("stale", F.row_number().over(W.partitionBy("_g").orderBy(step)) - 1).withColumn("best", F.least(loss, F.coalesce("_b", F.col(loss))))
-    stop = m.withColumn("_s", F.min(F.when(F.col("stale") >= patience, F.col(step))).over(W.partitionBy(F.lit(1))))
-    return stop.where(F.col("_s").isNull() | (F.col(step) <= F.col("_s"))).drop("_b", "_g", "_s")
+    log: one row an evaluation. Runs over blocks of 4096 evaluations and carries the smallest loss and the last improvement from block to block."""
+    ranked = global_rank(metrics, step, name="_r").withColumn("_k", F.floor(F.col("_r") / 4096))
+    o = W.partitionBy("_k").orderBy("_r")
+    lows = _carried(ranked.groupBy("_k").agg(F.min(loss).alias("_v")), F.min)
+    m = ranked.join(lows, "_k").withColumn("_b", F.least("_c", F.min(loss).over(o.rowsBetween(W.unboundedPreceding, -1)))).drop("_c")
+    m = m.withColumn("improved", F.coalesce(F.col(loss) < F.col("_b"), F.lit(True))).withColumn("best", F.least(loss, F.coalesce("_b", F.col(loss))))
+    m = m.withColumn("_i", F.when(F.col("improved"), F.col("_r")))
+    last = _carried(m.groupBy("_k").agg(F.max("_i").alias("_v")), F.max)
+    m = m.join(last, "_k").withColumn("stale", (F.col("_r") - F.greatest("_c", F.max("_i").over(o))).cast("int"))
+    end = m.where(F.col("stale") >= patience).agg(F.min("_r")).first()[0]
+    m = m if end is None else m.where(F.col("_r") <= end)
+    return m.select(*metrics.columns, "improved", "stale", "best")

@@ -180,3 +180,22 @@ def test_stream(spark, tmp_path):
     q = stream_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n_messages for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_early_stopping_over_blocks(spark):
+    """Against a plain loop, over several blocks of evaluations, without one task that sees them all."""
+    rng = random.Random(7)
+    log = [(3 * k, None if k % 1000 == 9 else round(2000 / (1 + k / 3) + rng.random(), 6)) for k in range(13000)]
+    for patience in (30, 2500, 10**6):
+        want, low, last = [], None, 0
+        for k, (step, loss) in enumerate(log):
+            improved = low is None or loss is None or loss < low
+            low = loss if low is None else low if loss is None else min(low, loss)
+            last = k if improved else last
+            want.append((step, loss, improved, k - last, low))
+            if k - last >= patience:
+                break
+        df = spark.createDataFrame(log, "step long, loss double").repartition(3)
+        out = stats.early_stopping(df, patience)
+        assert [tuple(r) for r in out.select("step", "loss", "improved", "stale", "best").orderBy("step").collect()] == want
+        assert "SinglePartition" not in out._jdf.queryExecution().toString()
