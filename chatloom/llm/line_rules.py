@@ -136,14 +136,15 @@ def fit(docs: list[tuple[int, list[list[int]]]]) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """labels: doc_id, quality 0/1; rows with a null in either are left out. Half of the sample at most is of good quality."""
+    """labels: doc_id, quality 0/1; rows with a null in either are left out. Half of the sample at most is of good quality.
+    `sample` bounds the labelled rows; of those taken, all lines are learnt from, in pieces of LONGEST."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("quality").cast("int").alias("y")).where("doc is not null and y is not null").groupBy("doc").agg(F.min("y").alias("y"))
     parts = [rated.where(F.col("y") == k).orderBy(F.xxhash64("doc"), "doc").limit(sample // 2) for k in (0, 1)]
     rated = parts[0].unionByName(parts[1])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [lines_of(t)[0][:LONGEST] for t in b["text"]]
+            got = [lines_of(t)[0] for t in b["text"]]
             yield pd.DataFrame({"doc": b["doc"], "y": b["y"], "lines": [[",".join(map(str, f)) for f in g] for g in got]})
 
     found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(rated), "doc")

@@ -269,6 +269,16 @@ def test_line_rules(spark):
     assert field.decode(feats) == [best >> i & 1 for i in range(5)]
 
 
+def test_line_rules_learn_from_late_lines(spark):
+    """What tells the labels apart stands behind the first pieces of long texts alone."""
+    plain, odd = "a plain line of words that ends well.", "### $$$ *** ### $$$ ***"
+    head = [f"{i} head line" for i in range(3 * line_rules.LONGEST)]
+    rows = [(i, "\n".join(head + [plain if i % 2 else odd] * 20)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    field = line_rules.train(frame(spark, rows), labels)
+    assert field.decode(line_rules.lines_of("\n".join([plain] * 6))[0]) == [1] * 6 and field.decode(line_rules.lines_of("\n".join([odd] * 6))[0]) == [0] * 6
+
+
 def test_mtree_exact(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(1000 + i, [0.5] * 8) for i in range(40)]
