@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .written import written
+
 
 def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Adds each row's 0-based place in the order of all rows. Rows are dealt by range and sorted; only the sizes of the ranges (one number a
-    partition) are summed up in one place. `order` should be total."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    """Adds each row's 0-based place in the order of all rows, nulls last. Rows are dealt by range, sorted and written; only the sizes of the ranges (one number a
+    partition) are summed up in one place. `order` should be total; rank narrow rows, and join what is wide back to them."""
+    cols = [F.col(c).asc_nulls_last() for c in order]
+    dealt = written(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_m", 33)
     sizes, at, rows = sorted(dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()), 0, [(-1, 0)]
     for p, n in sizes:
