@@ -1,21 +1,17 @@
-"""Shared pieces of the corpus operators: table access, tokenisation, scratch tables, graph components."""
+"""Shared pieces of the corpus operators: table access, tokenisation, column names, graph components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.written import discard
+from ..plans.written import written as materialize
+
 #: A word: a run of bytes other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_scratch: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,49 +32,45 @@ def split_words(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: spark.checkpoint.dir, or a folder of this process where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not _own_scratch:
-        _own_scratch.append(tempfile.mkdtemp(prefix="chatloom-"))
-        atexit.register(shutil.rmtree, _own_scratch[0], True)
-    return _own_scratch[0]
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def packed(docs: DataFrame, **named: str) -> DataFrame:
+    """docs with every column in one struct `row`, beside the columns given by name: nothing that an operator adds can clash with what came in."""
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), *[quoted(c).alias(n) for n, c in named.items()])
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files under a table that materialize() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def free_names(docs: DataFrame, names: list[str]) -> list[str]:
+    """Names for result columns. One that docs has already (upper and lower case alike) gets underscores behind it until it is free: columns that came in keep
+    their names and values."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def with_row_id(docs: DataFrame, name: str = "rid") -> DataFrame:
-    """Adds an id that tells rows apart even where all columns are equal. It is stable for a scan; other inputs are written first."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "Python" in plan or "Pandas" in plan or "Arrow" in plan:
-        docs = materialize(docs, "rows")
-    return docs.withColumn(name, F.monotonically_increasing_id())
+def numbered(docs: DataFrame, **named: str) -> DataFrame:
+    """packed() with rid, a number that tells rows apart even where all columns are equal. Written out, so that it means the same row whenever and wherever it is read."""
+    return materialize(packed(docs, **named).withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b) as (node, root), root the smallest node reached; nodes without edges are absent.
 
     Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest chain, and a
-    node's neighbours are only ever reduced to their minimum, so a hub never meets in one task.
+    node's neighbours are only ever reduced to their minimum, so a hub never meets in one task. All is done when no node has edges both up and down.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        by_node = ends.groupBy("node").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.sum("up").alias("n"))
+        if by_node.where("(up = 1 and down = 1) or n > 1").isEmpty():
+            break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -86,28 +78,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for old in (e, large):
-            discard(old)
+        discard(e, large)
         e = small
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Adds the 0-based place of each row in the order of all rows, without one task seeing them all: rows are dealt by range,
-    sorted, and written; the driver sums the row counts of the ranges (one number for each partition)."""
-    cols = [F.col(c).asc_nulls_last() for c in order]
-    dealt = materialize(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_m", 33)
-    counts = sorted(dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts, at = [(-1, 0)], 0
-    for p, n in counts:
-        starts.append((p, at))
-        at += n
-    offsets = df.sparkSession.createDataFrame(starts, "p int, at long")
-    return dealt.withColumn("p", part.cast("int")).join(F.broadcast(offsets), "p").withColumn(name, F.col("at") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("p", "at", "_m")

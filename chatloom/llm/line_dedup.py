@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, materialize, table, with_row_id, word_count
+from .common import discard, free_names, materialize, numbered, table, word_count
 
 
-def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, doc, line, pos, h, words) of every line that has a word; pos counts those lines alone."""
-    lines = docs.select("rid", F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line", "s"))
-    lines = lines.select("rid", "doc", "line", F.xxhash64("s").alias("h"), word_count(F.col("s")).alias("words")).where("words > 0")
-    return lines
+def line_positions(rows: DataFrame) -> DataFrame:
+    """(rid, doc, line, h, words) of every line of rows (rid, doc, text) that has a word."""
+    lines = rows.select("rid", "doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s"))
+    return lines.select("rid", "doc", "line", F.xxhash64("s").alias("h"), word_count(F.col("s")).alias("words")).where("words > 0")
 
 
 def suffix_names(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
@@ -52,25 +51,29 @@ def suffix_names(lines: DataFrame, min_words: int) -> tuple[DataFrame, int]:
         trash += [p, names]
         p = materialize(pair.join(names, ["x", "y"]).drop("x", "y"), "positions")
         levels += 1
-    for old in trash:
-        discard(old)
+    discard(*trash)
     return p, levels
 
 
 def later_copies(p: DataFrame, levels: int) -> DataFrame:
-    """(rid, a, b): the stretches of lines to delete, as first and last line number, apart from one another."""
+    """(rid, cut): by row, the stretches of lines to delete, as first and last line number, apart from one another."""
     runs = p.where("ahead is not null").select("rid", "doc", "pos", F.col("ahead").alias("n")).unionByName(p.where("back is not null").select("rid", "doc", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("n"))).distinct()
     level = F.floor(F.log2("n")).cast("int")
     runs = runs.withColumn("k", level).withColumn("last", (F.col("pos") + F.col("n") - F.pow(F.lit(2), F.col("k"))).cast("long"))
     named = p.select("rid", "pos", F.array(*[f"n{k}" for k in range(levels)]).alias("names"))
     runs = runs.join(named, ["rid", "pos"]).withColumn("x", F.col("names")[F.col("k")]).drop("names")
     runs = runs.join(named.withColumnRenamed("pos", "last"), ["rid", "last"]).withColumn("y", F.col("names")[F.col("k")]).select("rid", "doc", "pos", "n", "x", "y")
-    first = runs.groupBy("n", "x", "y").agg(F.min(F.struct("doc", "rid", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    runs = materialize(runs, "runs")
+    # Written, so that the join below is one of two plain shuffles, whose large parts Spark can split where a run is in very many documents.
+    first = materialize(runs.groupBy("n", "x", "y").agg(F.min(F.struct("doc", "rid", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
     gone = runs.join(first, ["n", "x", "y"]).where("(rid <> f.rid) or (pos >= f.pos + n)").select("rid", "pos", "n")
     gone = gone.groupBy("rid", "pos").agg(F.max("n").alias("n")).select("rid", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")).distinct()
     gone = gone.join(p.select("rid", "pos", "line"), ["rid", "pos"])
     island = gone.withColumn("g", F.col("pos") - F.row_number().over(W.partitionBy("rid").orderBy("pos")))
-    return island.groupBy("rid", "g").agg(F.min("line").alias("a"), F.max("line").alias("b")).drop("g")
+    cut = island.groupBy("rid", "g").agg(F.min("line").alias("a"), F.max("line").alias("b")).drop("g")
+    cut = materialize(cut.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("cut")), "cuts")
+    discard(runs, first, p)
+    return cut
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -78,16 +81,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at \\n. Lines without a word take no part; they go with a run that encloses them. Null and empty texts
     have one empty line and lose nothing (null stays null). Rows with equal ids are different documents, the earlier
-    row first; a null id sorts before all others. An emptied document stays, with an empty text. Other columns stay as they are.
+    row first; a null id sorts before all others. An emptied document stays, with an empty text. Other columns stay as they are, whatever
+    their names; where docs has a column n_lines or n_removed, the new one gets an underscore. No rows give none.
     """
-    rows = with_row_id(docs)
-    p, levels = suffix_names(line_positions(rows, id_col, text_col), min_words)
-    cut = later_copies(p, levels).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    rows = numbered(docs, doc=id_col, text=text_col)
+    p, levels = suffix_names(line_positions(rows), min_words)
+    joined = rows.join(later_copies(p, levels), "rid", "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     gone = F.coalesce(F.aggregate("cut", F.lit(0).cast("long"), lambda s, c: s + c["b"] - c["a"] + 1), F.lit(0).cast("long"))
     kept = F.filter(lines, lambda s, i: ~F.exists("cut", lambda c: i.between(c["a"], c["b"])))
-    joined = rows.join(cut, "rid", "left")
-    return joined.select(*[F.when(F.col("cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), gone.alias("n_removed"))
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines, n_removed = free_names(docs, ["n_lines", "n_removed"])
+    same = [F.col("row")[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns]
+    return joined.select(*same, F.size(lines).cast("long").alias(n_lines), gone.alias(n_removed))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

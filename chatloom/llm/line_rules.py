@@ -1,8 +1,12 @@
 """Quality rules by line sequence labelling: a linear-chain conditional random field marks lines content or boilerplate.
 
 Viterbi decoding gives each document's most likely labels; the share of its words that lie in content lines decides. The field is
-fitted on the driver to at most `sample` labelled documents (smallest hash of the id): lines of documents of good
-quality are taken as content, lines of others as boilerplate. Plain rules on the whole text come before it.
+fitted on the driver to at most `sample` labelled documents (smallest hash of the id), from labels of single lines:
+* in documents of good quality, lines that repeat an earlier one and notices (licences, cookies, addresses) are boilerplate, all others content;
+* in other documents, these lines and all others are boilerplate; but where over a third of a document's lines repeat others, that alone speaks against it, and what its
+  other lines are is left open: the field is fitted to the sum over both labels of such lines;
+* runs of lines of both kinds of documents are spliced into further sequences, in which labels change at known places.
+So a document that mixes both kinds gets a share between 0 and 1. Plain rules on the whole text come before it.
 """
 
 from __future__ import annotations
@@ -16,9 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, packed, quoted, table
 
-SAMPLE, LONGEST, STEPS, RATE, DECAY = 2048, 64, 120, 0.15, 1e-3
+SAMPLE, LONGEST, STEPS, RATE, DECAY, SEED = 2048, 64, 120, 0.15, 1e-3, 42
+#: Lines that are a run at most when documents are spliced, and the share of repeating lines from which a document's other lines are left open.
+RUN, REPEATING = 12, 1 / 3
+OPEN = -1
 SHARE, FEWEST, REPEATED, WINDOW = 0.5, 20, 30, 8
 SPACES = re.compile(r"[\x20\x09-\x0D]")
 SYMBOLS = "#*$%&|<>"
@@ -26,7 +33,10 @@ NOTICE = re.compile(r"licen[sc]e|copyright|all rights reserved|©|cookie|subscri
 #: Features: bins of each measure, one-hot, then flags.
 BINS = ((3, 6, 11, 21, 51), (0.001, 0.03, 0.1), (0.001, 0.03, 0.1), (0.15, 0.5), (0.05, 0.3), (0.35, 0.6, 0.85), (3.0, 9.0))
 FLAGS = 5
-N_FEATURES = sum(len(b) + 1 for b in BINS) + FLAGS + 1
+FIRST_FLAG = sum(len(b) + 1 for b in BINS)
+AGAIN, NOTICED = FIRST_FLAG + 2, FIRST_FLAG + 3
+N_FEATURES = FIRST_FLAG + FLAGS + 1
+WIDEST = len(BINS) + FLAGS + 1
 
 
 def line_features(line: str, words: list[str], again: bool) -> list[int]:
@@ -85,50 +95,83 @@ class Field:
         return labels[::-1]
 
 
-def fit(docs: list[tuple[int, list[list[int]]]]) -> Field:
-    """docs: (label of all its lines, line features). Adam on the mean log likelihood, by forward and backward sums over padded pieces."""
-    pieces = [(y, f[a : a + LONGEST]) for y, f in docs for a in range(0, len(f), LONGEST)]
+def line_labels(good: int, feats: list[list[int]]) -> list[int]:
+    """1 content, 0 boilerplate, OPEN unknown, for the lines of a labelled document."""
+    plain = [AGAIN not in f and NOTICED not in f for f in feats]
+    if good:
+        return [int(p) for p in plain]
+    repeating = sum(AGAIN in f for f in feats) > REPEATING * len(feats)
+    return [OPEN if p and repeating else 0 for p in plain]
+
+
+def splice(docs: list[tuple[list[int], list[list[int]]]], good: list[int], rng: np.random.Generator) -> list[tuple[list[int], list[list[int]]]]:
+    """Sequences of up to LONGEST lines, runs of good and of other documents in turn; half as many as there are documents."""
+    sides = [[d for d, g in zip(docs, good, strict=True) if g == k and d[1]] for k in (0, 1)]
+    out = []
+    for _ in range(len(docs) // 2 if all(sides) else 0):
+        labels, feats, side = [], [], int(rng.integers(2))
+        for _ in range(int(rng.integers(2, 5))):
+            y, f = sides[side][int(rng.integers(len(sides[side])))]
+            n = min(len(f), int(rng.integers(1, RUN + 1)))
+            at = int(rng.integers(len(f) - n + 1))
+            labels += y[at : at + n]
+            feats += f[at : at + n]
+            side = 1 - side
+        out.append((labels[:LONGEST], feats[:LONGEST]))
+    return out
+
+
+def _marginals(score: np.ndarray, move: np.ndarray, start: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of padded sequences: P(label) by line, and expected label pairs by sequence. score: (n, longest, 2), -inf for a label that cannot be."""
+    lse, (n, longest, _) = np.logaddexp, score.shape
+    fwd, bwd = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    fwd[:, 0] = start + score[:, 0]
+    for j in range(1, longest):
+        step = score[:, j] + lse(fwd[:, j - 1, :1] + move[0], fwd[:, j - 1, 1:] + move[1])
+        fwd[:, j] = np.where(on[:, j, None], step, fwd[:, j - 1])
+    for j in range(longest - 2, -1, -1):
+        nxt = score[:, j + 1] + bwd[:, j + 1]
+        step = lse(move[:, 0] + nxt[:, :1], move[:, 1] + nxt[:, 1:])
+        bwd[:, j] = np.where(on[:, j + 1, None], step, 0)
+    logz = lse(fwd[:, -1, 0], fwd[:, -1, 1])
+    prob = np.exp(fwd + bwd - logz[:, None, None]) * on[:, :, None]
+    pair = np.exp(fwd[:, :-1, :, None] + move + (score + bwd)[:, 1:, None, :] - logz[:, None, None, None])
+    return prob, (pair * on[:, 1:, None, None]).sum(axis=1)
+
+
+def fit(docs: list[tuple[list[int], list[list[int]]]]) -> Field:
+    """docs: (labels of lines, OPEN where unknown; line features). Adam on the mean log likelihood of the known labels: what the field expects given them, less what it
+    expects without, by forward and backward sums over pieces of at most LONGEST lines."""
+    pieces = [(y[a : a + LONGEST], f[a : a + LONGEST]) for y, f in docs for a in range(0, len(f), LONGEST)]
     if not pieces:
         return Field(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
-    n, longest = len(pieces), max(len(f) for _, f in pieces)
-    x = np.zeros((n, longest, N_FEATURES), dtype=np.float32)
-    on = np.zeros((n, longest), dtype=bool)
-    for i, (_, f) in enumerate(pieces):
-        for j, ids in enumerate(f):
-            x[i, j, ids] = 1
-        on[i, : len(f)] = True
-    y, size = np.array([p[0] for p in pieces]), on.sum(axis=1)
-    weight = on.sum() / 2 / np.maximum(1, np.array([size[y == k].sum() for k in (0, 1)]))  # both labels weigh the same
-    importance = np.minimum(weight, 20)[y]
+    n, longest = len(pieces), max(2, max(len(f) for _, f in pieces))
+    ids = np.full((n, longest, WIDEST), N_FEATURES, dtype=np.uint8)  # padded with a feature that weighs nothing
+    y = np.full((n, longest), OPEN, dtype=np.int8)
+    for i, (labels, f) in enumerate(pieces):
+        y[i, : len(labels)] = labels
+        for j, x in enumerate(f):
+            ids[i, j, : len(x)] = x
+    on = ids[:, :, 0] < N_FEATURES
+    seen = np.array([(y[on] == k).sum() for k in (0, 1)])
+    weight = np.minimum(on.sum() / 2 / np.maximum(1, seen), 20)  # both labels weigh the same
+    each = np.where(on, np.where(y == OPEN, weight.min(), weight[np.clip(y, 0, 1)]), 0)
+    importance = each.sum(axis=1) / np.maximum(1, on.sum(axis=1))
+    barred = np.zeros((n, longest, 2))
+    barred[:, :, 0][y == 1] = barred[:, :, 1][y == 0] = -1e9
     w = np.zeros(N_FEATURES + 6)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    lse = np.logaddexp
     for t in range(1, STEPS + 1):
-        emit, move, start = w[:N_FEATURES], w[N_FEATURES : N_FEATURES + 4].reshape(2, 2), w[N_FEATURES + 4 :]
+        move, start = w[N_FEATURES : N_FEATURES + 4].reshape(2, 2), w[N_FEATURES + 4 :]
         score = np.zeros((n, longest, 2))
-        score[:, :, 1] = x @ emit
-        fwd, bwd = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        fwd[:, 0] = start + score[:, 0]
-        for j in range(1, longest):
-            step = score[:, j] + lse(fwd[:, j - 1, :1] + move[0], fwd[:, j - 1, 1:] + move[1])
-            fwd[:, j] = np.where(on[:, j, None], step, fwd[:, j - 1])
-        for j in range(longest - 2, -1, -1):
-            nxt = score[:, j + 1] + bwd[:, j + 1]
-            step = lse(move[:, 0] + nxt[:, :1], move[:, 1] + nxt[:, 1:])
-            bwd[:, j] = np.where(on[:, j + 1, None], step, 0)
-        logz = lse(fwd[:, -1, 0], fwd[:, -1, 1])
-        prob = np.exp(fwd + bwd - logz[:, None, None]) * on[:, :, None]
+        score[:, :, 1] = np.append(w[:N_FEATURES], 0)[ids].sum(axis=2)
+        free, free_pairs = _marginals(score, move, start, on)
+        known, known_pairs = _marginals(score + barred, move, start, on)
+        diff = (known - free) * importance[:, None, None]
         grad = np.zeros_like(w)
-        diff = (np.where(y[:, None] == 1, 1.0, 0.0) * on - prob[:, :, 1]) * importance[:, None]
-        grad[:N_FEATURES] = np.einsum("ij,ijk->k", diff, x)
-        pair = fwd[:, :-1, :, None] + move + (score + bwd)[:, 1:, None, :] - logz[:, None, None, None]
-        both = (np.exp(pair) * on[:, 1:, None, None] * importance[:, None, None, None]).sum(axis=(0, 1))
-        seen = np.zeros((2, 2))
-        for k in (0, 1):
-            seen[k, k] = ((size - 1) * importance)[y == k].sum()
-        grad[N_FEATURES : N_FEATURES + 4] = (seen - both).ravel()
-        first = np.stack([(y == k) * importance for k in (0, 1)], axis=1) - prob[:, 0] * importance[:, None]
-        grad[N_FEATURES + 4 :] = first.sum(axis=0)
+        grad[:N_FEATURES] = np.bincount(ids.ravel(), np.repeat(diff[:, :, 1].ravel(), WIDEST), minlength=N_FEATURES + 1)[:N_FEATURES]
+        grad[N_FEATURES : N_FEATURES + 4] = ((known_pairs - free_pairs) * importance[:, None, None]).sum(axis=0).ravel()
+        grad[N_FEATURES + 4 :] = diff[:, 0].sum(axis=0)
         grad = grad / on.sum() - DECAY * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w = w + RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -137,7 +180,8 @@ def fit(docs: list[tuple[int, list[list[int]]]]) -> Field:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """labels: doc_id, quality 0/1; rows with a null in either are left out. Half of the sample at most is of good quality.
-    `sample` bounds the labelled rows; of those taken, all lines are learnt from, in pieces of LONGEST."""
+    `sample` bounds the labelled rows; of those taken, all lines are learnt from, in pieces of LONGEST. Of labels with one id the worse counts, of documents with one
+    id the first text by code points: one row an id comes to the driver."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("quality").cast("int").alias("y")).where("doc is not null and y is not null").groupBy("doc").agg(F.min("y").alias("y"))
     parts = [rated.where(F.col("y") == k).orderBy(F.xxhash64("doc"), "doc").limit(sample // 2) for k in (0, 1)]
     rated = parts[0].unionByName(parts[1])
@@ -145,12 +189,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [lines_of(t)[0] for t in b["text"]]
-            yield pd.DataFrame({"doc": b["doc"], "y": b["y"], "lines": [[",".join(map(str, f)) for f in g] for g in got]})
+            yield pd.DataFrame({"doc": b["doc"], "y": b["y"], "lines": [b"".join(bytes(f).ljust(WIDEST, b"\xff") for f in g) for g in got]})
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(rated), "doc")
-    rows = found.mapInPandas(features, "doc long, y int, lines array<string>").collect()
-    rows.sort(key=lambda r: (r.doc, r.lines))
-    return fit([(r.y, [[int(i) for i in f.split(",")] for f in r.lines]) for r in rows])
+    found = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text")).join(F.broadcast(rated), "doc")
+    found = found.groupBy("doc", "y").agg(F.min("text").alias("text"))
+    rows = sorted(found.mapInPandas(features, "doc long, y int, lines binary").toLocalIterator())
+    feats = [[[i for i in r.lines[a : a + WIDEST] if i < 255] for a in range(0, len(r.lines), WIDEST)] for r in rows]
+    known, good = [(line_labels(r.y, f), f) for r, f in zip(rows, feats, strict=True)], [r.y for r in rows]
+    return fit(known + splice(known, good, np.random.default_rng(SEED)))
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -180,7 +226,8 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def apply_rules(docs: DataFrame, field: Field, text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """docs with the measures of SCHEMA. Null and empty texts have no words and fail; the content share of no words is 0."""
+    """docs with the measures of SCHEMA. Null and empty texts have no words and fail; the content share of no words is 0. Long texts are read whole.
+    Columns that docs has already keep their names and values: a measure of the same name gets an underscore. No rows give none."""
 
     @F.pandas_udf(SCHEMA)
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -196,8 +243,9 @@ def apply_rules(docs: DataFrame, field: Field, text_col: str = "text", share: fl
                 rows.append((n, sum(map(len, words)), sum(map(t.count, SYMBOLS)), dup, repeat, failed, content, not failed and content >= share))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    out = docs.withColumn("judged", judge(F.col(text_col)))
-    return out.select(*docs.columns, "judged.*")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    out = packed(docs, text=text_col).withColumn("judged", judge(F.col("text")))
+    return out.select("row.*", *[F.col("judged")[c].alias(n) for c, n in zip(names, free_names(docs, names), strict=True)])
 
 
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +253,15 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
-#: Of op10's columns, those that plain SQL can give.
+#: Of op10's columns, those that SQL can give; a test holds the query against it.
 BASE_SQL = """
-SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols
-FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM a),
+c AS (SELECT *, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) AS g FROM b),
+d AS (SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM c),
+e AS (SELECT doc_id, i FROM d QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+f AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(8)) AS k FROM e) GROUP BY 1)
+SELECT c.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+ (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(f.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(f.n, 0) > 30 * len(w) AS base_failed
+FROM c LEFT JOIN f USING (doc_id)
 """

@@ -6,18 +6,22 @@ hashes in order, each after its place among the siblings. The tree goes on below
 and repeated records make no large group: a node has at most 256 children, a leaf holds digests and how often they occur. Above the lowest
 node that holds all records there are only chains of only children, which are not built. Both replicas are built in one pass.
 
-An audit compares the roots of two replicas and descends, level by level, only into nodes whose hashes differ.
+An audit compares the roots of two replicas and descends, level by level, only into nodes whose hashes differ. Records are read and hashed once; the audit reads
+the table of their digests. What differs is located in the archive: the file of 65,536 positions that it is in, and the range of bytes there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import discard, materialize, table
+from .common import discard, materialize, quoted, table
 
 #: Hex digits of a node's address at each level, leaves first: position (17: a mark for null, then 16) and 4 of the digest; 2 digits a step.
 LEAF, POSITION, STEP = 21, 17, 2
+#: Positions in a file of the archive; a power of two.
+FILE = 1 << 16
 LEVELS = tuple(range(LEAF, 0, -STEP))  # 21, 19, ..., 1
 
 
@@ -92,36 +96,52 @@ def audit(left: list[DataFrame], right: list[DataFrame]) -> tuple[DataFrame, lis
     return differing, compared
 
 
+def ranges(records: DataFrame) -> DataFrame:
+    """(position, warc_file, range_offset, range_length): where an archive has each position, from its records (position, digest, bytes). A file holds the records of
+    FILE positions in order, all records of a position side by side; a null position is a file of its own. Records of one position are summed before the window,
+    which therefore never sees more than FILE rows."""
+    at = records.groupBy("position").agg(F.sum("bytes").alias("range_length")).withColumn("warc_file", F.shiftright("position", FILE.bit_length() - 1))
+    before = F.sum("range_length").over(W.partitionBy("warc_file").orderBy("position").rowsBetween(W.unboundedPreceding, 0)) - F.col("range_length")
+    return at.select("position", "warc_file", before.alias("range_offset"), "range_length")
+
+
 def fixity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Records that two replicas (position, digest, bytes) do not share: (position, status, left_digest, right_digest, copies).
+    """Records that two replicas (position, digest, bytes) do not share: (position, status, left_digest, right_digest, copies, warc_file, range_offset, range_length).
 
     status: missing (left alone has it), extra (right alone), corrupt (a position whose one record differs), count (the same record, another
-    number of times). Only records under differing leaves are read again. Equal or empty replicas give no rows; a null position is a place of
-    its own; a position with several records gives a row for each that is not shared.
+    number of times). Only the digests of records under differing leaves are read again. Equal or empty replicas give no rows; a null position is a place of
+    its own; a position with several records gives a row for each that is not shared. The range is that of the position in left's archive; null if left lacks it.
     """
-    sides = []
-    levels = _levels(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), ["side"], "tree")
+    records = materialize(left.select("position", "digest", "bytes", F.lit(0).alias("side")).unionByName(right.select("position", "digest", "bytes", F.lit(1).alias("side"))), "records")
+    levels = _levels(records, ["side"], "tree")
     bad, _ = audit(*([x.where(F.col("side") == n).drop("side") for x in levels] for n in (0, 1)))
-    for x, name in ((left, "left"), (right, "right")):
-        own = x.withColumn("node", address(F.col("position"), F.col("digest"))).join(bad.select("node"), "node", "left_semi")
+    sides = []
+    for n, name in enumerate(("left", "right")):
+        own = records.where(F.col("side") == n).withColumn("node", address(F.col("position"), F.col("digest"))).join(bad.select("node"), "node", "left_semi")
         sides.append(own.groupBy("position", "digest").agg(F.count("*").alias(name)))
     both = sides[0].join(sides[1].withColumnsRenamed({"position": "p", "digest": "d"}), F.col("position").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "full")
     both = both.select(F.coalesce("position", "p").alias("position"), F.coalesce("digest", "d").alias("digest"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right")).where("left <> right")
     both = materialize(both, "differences")
-    for level in levels:
-        discard(level)
+    discard(*levels)
     one = both.groupBy("position").agg(F.count("*").alias("n"), F.sum("left").alias("l"), F.sum("right").alias("r"), F.min(F.when(F.col("left") > 0, F.col("digest"))).alias("left_digest"), F.min(F.when(F.col("right") > 0, F.col("digest"))).alias("right_digest"))
     swapped = one.where("n = 2 and l = 1 and r = 1 and left_digest is not null and right_digest is not null")
     rows = both.join(swapped.select(F.col("position").alias("p")), F.col("position").eqNullSafe(F.col("p")), "left_anti")
     status = F.when(F.col("right") == 0, "missing").when(F.col("left") == 0, "extra").otherwise("count")
     rows = rows.select("position", status.alias("status"), F.when(F.col("left") > 0, F.col("digest")).alias("left_digest"), F.when(F.col("right") > 0, F.col("digest")).alias("right_digest"), F.abs(F.col("left") - F.col("right")).alias("copies"))
-    return swapped.select("position", F.lit("corrupt").alias("status"), "left_digest", "right_digest", F.lit(1).cast("long").alias("copies")).unionByName(rows)
+    found = swapped.select("position", F.lit("corrupt").alias("status"), "left_digest", "right_digest", F.lit(1).cast("long").alias("copies")).unionByName(rows)
+    # Only files with damage are laid out.
+    file = F.shiftright("position", FILE.bit_length() - 1)
+    hurt = both.select(file.alias("f")).distinct()
+    where = ranges(records.where("side = 0").join(hurt, file.eqNullSafe(F.col("f")), "left_semi")).withColumnRenamed("position", "p")
+    out = materialize(found.join(where, F.col("position").eqNullSafe(F.col("p")), "left").drop("p"), "located")
+    discard(records, both)
+    return out
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(position, digest, bytes) of the WARC records of pages."""
-    block = warc_block(F.col(url_col), F.col(html_col))
-    return pages.select(F.col(id_col).cast("long").alias("position"), F.sha2(block, 256).alias("digest"), F.length(block).cast("long").alias("bytes"))
+    """(position, digest, bytes) of the WARC records of pages: one each, also for null urls and empty or null pages. Other columns take no part."""
+    block = warc_block(quoted(url_col), quoted(html_col))
+    return pages.select(quoted(id_col).cast("long").alias("position"), F.sha2(block, 256).alias("digest"), F.length(block).cast("long").alias("bytes"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -142,7 +162,10 @@ b AS (SELECT page_id, url, CASE WHEN page_id % 101 = 3 THEN coalesce(html, '') |
 da AS (SELECT page_id, sha256('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS d FROM pages),
 db AS (SELECT page_id, sha256('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS d FROM b),
 c AS (SELECT page_id, d, coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM (SELECT page_id, d, count(*) AS l FROM da GROUP BY ALL) FULL JOIN (SELECT page_id, d, count(*) AS r FROM db GROUP BY ALL) USING (page_id, d) WHERE coalesce(l, 0) <> coalesce(r, 0)),
-p AS (SELECT *, count(*) OVER w = 2 AND sum(l) OVER w = 1 AND sum(r) OVER w = 1 AS swapped FROM c WINDOW w AS (PARTITION BY page_id))
-SELECT page_id, 'corrupt' AS status, max(CASE WHEN l > 0 THEN d END) AS left_digest, max(CASE WHEN r > 0 THEN d END) AS right_digest, 1::BIGINT AS copies FROM p WHERE swapped GROUP BY page_id
-UNION ALL SELECT page_id, CASE WHEN r = 0 THEN 'missing' WHEN l = 0 THEN 'extra' ELSE 'count' END, CASE WHEN l > 0 THEN d END, CASE WHEN r > 0 THEN d END, abs(l - r)::BIGINT FROM p WHERE NOT swapped
+p AS (SELECT *, count(*) OVER w = 2 AND sum(l) OVER w = 1 AND sum(r) OVER w = 1 AS swapped FROM c WINDOW w AS (PARTITION BY page_id)),
+f AS (SELECT page_id, 'corrupt' AS status, max(CASE WHEN l > 0 THEN d END) AS left_digest, max(CASE WHEN r > 0 THEN d END) AS right_digest, 1::BIGINT AS copies FROM p WHERE swapped GROUP BY page_id
+UNION ALL SELECT page_id, CASE WHEN r = 0 THEN 'missing' WHEN l = 0 THEN 'extra' ELSE 'count' END, CASE WHEN l > 0 THEN d END, CASE WHEN r > 0 THEN d END, abs(l - r)::BIGINT FROM p WHERE NOT swapped),
+n AS (SELECT page_id, sum(strlen('WARC/1.1' || 'WARC-Type: response' || 'WARC-Target-URI: ' || coalesce(url, '') || 'Content-Length: ' || strlen(coalesce(html, '')) || coalesce(html, '')) + 14)::BIGINT AS b FROM pages GROUP BY page_id),
+o AS (SELECT page_id, (page_id // 65536)::BIGINT AS warc_file, (sum(b) OVER (PARTITION BY page_id // 65536 ORDER BY page_id) - b)::BIGINT AS range_offset, b AS range_length FROM n)
+SELECT f.*, o.warc_file, o.range_offset, o.range_length FROM f LEFT JOIN o ON f.page_id IS NOT DISTINCT FROM o.page_id
 """

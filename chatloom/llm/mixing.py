@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, global_rank, materialize, table, with_row_id, word_count
+from ..plans.ranking import global_rank
+from .common import discard, materialize, numbered, quoted, table, word_count
 
 SEED = 42
 
@@ -77,15 +78,10 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     return take
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
-    """(rid, doc, size, source_size, target, copies), one row for each row of docs; rid is with_row_id's.
-
-    Sizes are word counts (null text: 0). A null source is a source. Documents without words are never taken. Rows with
-    equal ids are rows of their own; which of them is taken is immaterial, as they differ in nothing that counts.
-    """
-    rows = with_row_id(docs)
-    key = F.when(F.col(source_col).isNotNull(), F.concat(F.lit("="), F.col(source_col).cast("string"))).otherwise(F.lit("~"))
-    sized = materialize(rows.select("rid", F.col(id_col).alias("doc"), key.alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("o")), "sized")
+def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """mix() of rows (rid, doc, text, source)."""
+    key = F.when(F.col("source").isNotNull(), F.concat(F.lit("="), F.col("source").cast("string"))).otherwise(F.lit("~"))
+    sized = materialize(rows.select("rid", "doc", key.alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc")).alias("o")), "sized")
     hist = materialize(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "lengths")
     sources = global_rank(hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "key")
     weight = F.array(*[F.lit(float(w)) for w in weights])[(F.col("rank") % len(weights)).cast("int")]
@@ -111,16 +107,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = sized.join(picked, "rid", "left").join(every, ["key", "size"], "left").join(budgets.select("key", "source_size", "target", "whole"), "key")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("picked", "every", F.lit(0))).otherwise(0)
     out = materialize(out.select("rid", "doc", "size", "source_size", "target", copies.cast("long").alias("copies")), "mixed")
-    for old in (sized, hist, sources, fitted, subs):
-        discard(old)
+    discard(sized, hist, sources, fitted, subs)
     return out
 
 
-def take_mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, and docs' own columns."""
-    rows = with_row_id(docs)
-    taken = mix(docs, **how).where("copies > 0").select("rid", "copies")
-    return rows.join(taken, "rid").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
+    """(rid, doc, size, source_size, target, copies), one row for each row of docs; rid numbers the rows.
+
+    Sizes are word counts (null text: 0). A null source is a source. Documents without words are never taken. Rows with
+    equal ids are rows of their own; which of them is taken is immaterial, as they differ in nothing that counts. Other columns take no part,
+    whatever their names. No rows give none. Of one length of one source, only documents in the one range of hashes (1 in 4096) that is cut through are ranked.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), quoted(id_col).alias("doc"), quoted(text_col).alias("text"), quoted(source_col).alias("source"))
+    return _mixed(rows, weights, share, most, seed)
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
+    """docs with each row as often as mix() takes it, and docs' own columns and values, whatever their names. Rows are numbered once, in a written copy, so that
+    what is counted is what is taken."""
+    rows = numbered(docs, doc=id_col, text=text_col, source=source_col)
+    taken = _mixed(rows.select("rid", "doc", "text", "source"), weights, share, most, seed).where("copies > 0").select("rid", "copies")
+    return rows.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

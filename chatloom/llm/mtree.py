@@ -7,7 +7,10 @@ each page's centre to its parent's centre. All vectors are in some tree, and the
 
 For a query q and a page with centre c and radius r, no entry scores above <q, c> + |q| r; and as |<q, c> - <q, p>| <=
 |q| d(p, c), none scores above <q, p> + |q| (d(p, c) + r), which needs no product with c. The search opens pages by the
-best bound first, and stops at a bound below the k-th score so far. Bounds are widened by a few ulps; scores are exact integers.
+best bound first, and stops at a bound below the k-th score so far. Bounds are widened by a few ulps; scores are exact integers: sums of products that float64
+may not hold exactly are made of Python's integers, over all vectors of the tree. Vectors that can lead there have trees of their own.
+
+Each tree is sent once, to the task of its salt; the queries go to every salt, in blocks.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize, table
+from .common import discard, materialize, quoted, table
 
-PAGE, FANOUT, PART, QUERIES, PIVOTS, SEED = 64, 16, 8192, 256, 64, 42
+PAGE, FANOUT, PART, BLOCK, TREES, PIVOTS, SEED = 64, 16, 8192, 1 << 20, 32, 64, 42
+#: Integers up to here make no product of vectors of up to 2048 components that float64 cannot hold.
+NARROW, EXACT = float(1 << 21), float(1 << 53)
 
 
 def build(x: np.ndarray, rng: np.random.Generator) -> dict:
@@ -64,6 +69,10 @@ def build(x: np.ndarray, rng: np.random.Generator) -> dict:
 
 def search(tree: dict, x: np.ndarray, ids: list[list[int]], q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
     """The k best (score, id) of a tree without `own`, larger scores and then smaller ids first."""
+    if len(q) * float(np.abs(q).max()) * float(np.abs(x).max()) >= EXACT:
+        ints = [int(c) for c in q]
+        scores = [sum(a * int(b) for a, b in zip(ints, row, strict=True)) for row in x.tolist()]
+        return sorted(((s, v) for s, vs in zip(scores, ids, strict=True) for v in vs if v != own), key=lambda t: (-t[0], t[1]))[:k]
     norm = float(np.sqrt(q @ q)) * (1 + 1e-12)
     best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst on top
 
@@ -100,11 +109,20 @@ def search(tree: dict, x: np.ndarray, ids: list[list[int]], q: np.ndarray, own:
     return [(s, -v) for s, v in sorted(best, reverse=True)]
 
 
+def in_order(s: int) -> bytes:
+    """Bytes that sort as the integers do, whatever their size."""
+    size = (abs(s).bit_length() + 7) // 8
+    raw = size.to_bytes(2, "big") + abs(s).to_bytes(size, "big")
+    return b"\x01" + raw if s >= 0 else b"\x00" + bytes(255 - x for x in raw)
+
+
 def whole_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v array of long) of the rows whose vectors are whole; null vectors and those with null, infinite or NaN components are left out."""
-    v = F.transform(vec_col, lambda c: F.floor(c.cast("double") * scale))
-    ok = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 1e15))
-    return rows.where(F.coalesce(ok, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    """(id, v array of whole doubles) of the rows whose vectors are whole; null vectors and those with null, infinite or NaN components are left out, as are those with
+    a component whose multiple no double holds."""
+    x = F.transform(quoted(vec_col), lambda c: c.cast("double") * scale)
+    ok = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = F.transform(x, lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c))
+    return rows.where(F.coalesce(ok, F.lit(False)) & quoted(id_col).isNotNull()).select(quoted(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
 def _few_ids(vectors: DataFrame, k: int) -> DataFrame:
@@ -116,43 +134,51 @@ def _few_ids(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, rank, id, score). Queries are the rows where is_query holds; every row but the query's own id is a candidate. Vectors of
-    another length than the query's have no product with it. Fewer than k candidates are all returned; no vectors give no rows."""
+    """(query_id, rank, id, score). Queries are the rows where is_query, a condition on the column id, holds; every row but the query's own id is a candidate. Vectors of
+    another length than the query's have no product with it; empty ones have none at all. Fewer than k candidates are all returned; no vectors give no rows. Repeated rows count once. Other
+    columns take no part, whatever their names. A score beyond the range of long is given as the nearest long; ranks follow the whole value."""
     vectors = materialize(whole_vectors(rows, id_col, vec_col, scale).distinct(), "vectors")
     entries = materialize(_few_ids(vectors, k).withColumn("dim", F.size("v")).where("dim > 0"), "entries")
-    pivots = [np.array(r.v, dtype=np.float64) for r in entries.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()]
     n = entries.count()
+    pivots: dict[int, np.ndarray] = {}
+    for r in entries.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect():
+        pivots[r.dim] = np.vstack([*pivots.get(r.dim, np.empty((0, r.dim))), np.array(r.v)])
     parts = max(1, n // (PIVOTS * PART))
 
     @F.pandas_udf("int")
     def nearest(vs: pd.Series) -> pd.Series:
-        out = []
-        for v in vs:
-            x = np.asarray(v, dtype=np.float64)
-            d = [((x - p) ** 2).sum() if len(p) == len(x) else np.inf for p in pivots]
-            out.append(int(np.argmin(d)))
-        return pd.Series(out, dtype="int32")
-
-    dealt = entries.withColumn("pivot", nearest("v")) if n else entries.withColumn("pivot", F.lit(0))
-    sizes = materialize(dealt, "dealt")
-    count = sizes.groupBy("dim", "pivot").agg(F.count("*").alias("n"))
+        out, dims = np.full(len(vs), -1, dtype=np.int32), vs.map(len).to_numpy()
+        for dim in set(dims.tolist()) & pivots.keys():
+            at, p = np.flatnonzero(dims == dim), pivots[dim]
+            with np.errstate(over="ignore", invalid="ignore"):  # any pivot will do
+                out[at] = ((p**2).sum(axis=1)[None, :] - 2 * np.stack(vs.iloc[at].to_list()) @ p.T).argmin(axis=1)
+        return pd.Series(out)
+
+    wide = F.array_max(F.transform("v", F.abs)) >= NARROW
+    dealt = materialize(entries.withColumn("pivot", nearest("v")).withColumn("wide", wide), "dealt")
+    count = dealt.groupBy("dim", "wide", "pivot").agg(F.count("*").alias("n"))
     small = F.col("n") < PART // 8  # pivots with few entries share a tree
-    sizes = sizes.join(F.broadcast(count), ["dim", "pivot"]).withColumn("tree", F.when(small, F.lit(-1)).otherwise(F.col("pivot")))
+    sizes = dealt.join(F.broadcast(count), ["dim", "wide", "pivot"]).withColumn("tree", F.when(small, F.lit(-1)).otherwise(F.col("pivot")))
     sizes = sizes.withColumn("part", F.pmod(F.xxhash64("v"), F.when(F.col("tree") < 0, F.lit(parts)).otherwise(F.ceil(F.col("n") / PART))))
 
     def grow(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         """One tree, its vectors and ids as bytes."""
         p = p.iloc[np.lexsort((p["ids"].str[0],))]
         x = np.array(p["v"].tolist(), dtype=np.float64)
-        tree = build(x, np.random.default_rng(SEED))
+        with np.errstate(over="ignore", invalid="ignore"):  # trees of vectors that wide are read whole
+            tree = build(x, np.random.default_rng(SEED))
         ids, sizes_ = np.concatenate(p["ids"].tolist()).astype(np.int64), np.array([len(i) for i in p["ids"]])
         blobs = {c: [np.ascontiguousarray(a, dtype=t).tobytes()] for c, a, t in (("x", x, "f8"), ("ids", ids, "i8"), ("sizes", sizes_, "i8"), ("centre", tree["centre"], "f8"), ("radius", tree["radius"], "f8"), ("parent", tree["parent"], "f8"), ("span", tree["span"], "i8"), ("leaf", tree["leaf"], "u1"), ("order", tree["order"], "i8"))}
         return pd.DataFrame({"dim": [int(key[0])], **blobs})
 
     schema = "dim int, x binary, ids binary, sizes binary, centre binary, radius binary, parent binary, span binary, leaf binary, order binary"
-    trees = materialize(sizes.groupBy("dim", "tree", "part").applyInPandas(grow, schema), "trees")
-    per = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit((1 << 30) / max(1, -(-vectors.where(is_query).count() // QUERIES))))
-    blocks = vectors.where(is_query).withColumn("dim", F.size("v")).groupBy("dim", per.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    trees = sizes.groupBy("dim", "wide", "tree", "part").applyInPandas(grow, schema)
+    trees = materialize(trees.withColumn("uid", F.monotonically_increasing_id()), "trees")
+    asked = vectors.where(is_query).withColumn("dim", F.size("v")).where("dim > 0")
+    blocks = max(1, -(-(asked.agg(F.sum("dim")).first()[0] or 0) // BLOCK))
+    salts = max(16, -(-trees.count() // TREES))
+    q = asked.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
+    q = materialize(q.select("dim", F.transform("q", lambda x: x["id"]).alias("qid"), F.flatten(F.transform("q", lambda x: x["v"])).alias("qv")), "blocks")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -161,14 +187,17 @@ def top_k(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
                 x, dim = get("x", "f8").reshape(-1, t.dim), t.dim
                 tree = {"centre": get("centre", "f8").reshape(-1, dim), "radius": get("radius", "f8"), "parent": get("parent", "f8"), "span": get("span", "i8").reshape(-1, 2), "leaf": get("leaf", "u1"), "order": get("order", "i8")}
                 ids = [i.tolist() for i in np.split(get("ids", "i8"), np.cumsum(get("sizes", "i8"))[:-1])]
-                out = [(int(q["id"]), s, v) for q in t.queries for s, v in search(tree, x, ids, np.asarray(q["v"], dtype=np.float64), int(q["id"]), k)]
-                yield pd.DataFrame(out, columns=["query_id", "score", "id"]).astype("int64")
+                out = [(int(i), s, v) for i, vec in zip(t.qid, np.asarray(t.qv, dtype=np.float64).reshape(-1, dim), strict=True) for s, v in search(tree, x, ids, vec, int(i), k)]
+                yield pd.DataFrame({"query_id": np.array([o[0] for o in out], dtype=np.int64), "score": np.array([max(-(1 << 63), min((1 << 63) - 1, o[1])) for o in out], dtype=np.int64), "whole": [in_order(o[1]) for o in out], "id": np.array([o[2] for o in out], dtype=np.int64)})
 
     # Blocks of queries against trees: a stated query set against all rows, in blocks.
-    pairs = trees.join(blocks.withColumn("_", F.lit(1)), "dim").repartition(F.xxhash64("x", "block"))
-    found = pairs.drop("_", "block").mapInPandas(find, "query_id long, score long, id long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    every = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = trees.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int")).drop("uid").join(every, ["dim", "salt"]).drop("salt")
+    found = pairs.mapInPandas(find, "query_id long, score long, whole binary, id long")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("whole"), "id"))
+    out = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score"), "found")
+    discard(vectors, entries, dealt, trees, q)
+    return out
 
 
 def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +208,7 @@ def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, table
 
 CAPACITY, BLOCK, CACHE = 2048, 4096, 200_000
 LINEAR, QUADRATIC = 1.0, 1 / 1024
@@ -40,18 +40,23 @@ class _Encoder:
     The pre-tokeniser always cuts before a single space between two characters that are not white space, so a text's ids are
     those of its space-separated pieces, and a piece's ids depend on nothing around it. Frequent pieces are looked up; the
     other pieces of a text are encoded together, and the lengths of the tokens tell where a piece ends. A text with two
-    white-space characters in a row in that joined string is encoded as it is. Of two libraries that give equal ids, this takes
-    the faster one (a test holds them together).
+    white-space characters in a row in that joined string is encoded as it is. The strings of the file's special tokens cut a text first, wherever
+    they stand, and become their ids. Of two libraries that give equal ids, this takes the faster one (a test holds them together).
     """
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        file = json.load(open(path, encoding="utf-8"))
+        model, added = file["model"], file.get("added_tokens", [])
+        if any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("special tokens that take their surroundings in are not supported")
+        self.special = {t["content"]: _bytes([t["id"]]) for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-        ranks = {bytes(chars[c] for c in t): i for t, i in model["vocab"].items() if all(c in chars for c in t) and t != "<|endoftext|>"}
+        ranks = {bytes(chars[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special and all(c in chars for c in t)}
         self.encode = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for t, i in ranks.items():
@@ -62,6 +67,11 @@ class _Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.special.get(part) or self.plain(part) for part in self.cut.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         got = list(map(self.pieces.get, rest))
         if None in got:
@@ -94,7 +104,7 @@ def _encoder(path: str) -> _Encoder:
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of a text; the strings of special tokens are ordinary text."""
+    """The ids of a text, as the tokenizers library gives them without adding special tokens: those whose strings stand in the text are themselves."""
     return _encoder(path)(text)
 
 
@@ -121,7 +131,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece. Null and empty texts are one token, the end. Equal ids and null ids are documents of their own.
+    """One row for each piece. Null and empty texts are one token, the end. Equal ids and null ids are documents of their own. Texts of any length are cut, never
+    shortened. Other columns take no part, whatever their names. No rows give none.
 
     Sequence ids follow from the input partition and the place in it, so that a task that runs again gives the same ones.
     """
@@ -156,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     yield flush()
         yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

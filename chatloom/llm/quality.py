@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
-Grades: 0 low quality, 1 toxic, 2 clean. One weight vector is shared by all grades; P(grade >= j) = sigmoid(score - t_j) with
-ordered thresholds t_1 < t_2. A word adds the weights of its hashed features (the word, its first bytes, its end, its
-case), scaled by the root of the text's length; shares (distinct words, capitals, symbols) and length add theirs once.
+Grades, from worst to best: 0 toxic, 1 low quality, 2 good. One weight vector is shared by all grades; P(grade >= j) = sigmoid(score - t_j) with
+ordered thresholds t_1 < t_2. A word that stands in the text n times adds 1 + ln n times the weights of its hashed features (the word, its first bytes, its end, its
+case), over the root of the number of distinct words; shares (distinct words, capitals, symbols) and length add theirs once.
 The expected grade is the sum of the tail probabilities; documents are selected by P(grade = 2).
 
 The model is fitted on the driver from at most `sample` labelled documents, those with the smallest hash of their id.
@@ -11,6 +11,7 @@ The model is fitted on the driver from at most `sample` labelled documents, thos
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, packed, quoted, table
 
 DIM, SAMPLE, EPOCHS, BATCH, RATE, DECAY, THRESHOLD, CACHE, FEWEST_DOCS = 1 << 18, 8192, 12, 128, 1.0, 1e-3, 0.5, 400_000, 8
 SYMBOLS = frozenset(b"#*$%&|<>!")
@@ -97,16 +98,27 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 42) -> Ordin
     return Ordinal((w * rare).astype(np.float32), (float(theta[0]), float(theta[0] + math.exp(theta[1]))))
 
 
+def _counted(words: list[bytes]) -> tuple[list[bytes], list[float]]:
+    """The distinct words in the order in which they appear, and what each counts."""
+    counts = Counter(words)
+    scale = 1 / math.sqrt(max(1, len(counts)))
+    return list(counts), [scale if n == 1 else scale * (1 + math.log(n)) for n in counts.values()]
+
+
 def _vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    ids, counts = np.unique(np.array([f for w in words for f in word_features(w)], dtype=np.int64), return_counts=True)
+    feats = [(word_features(w), x) for w, x in zip(*_counted(words), strict=True)]
+    ids, at = np.unique(np.array([f for fs, _ in feats for f in fs], dtype=np.int64), return_inverse=True)
+    values = np.bincount(at, [x for fs, x in feats for _ in fs], minlength=len(ids))
     whole = np.array(text_features(words), dtype=np.int64)
-    return np.concatenate([ids, whole]).astype(np.int32), np.concatenate([counts / math.sqrt(max(1, len(words))), np.ones(len(whole))]).astype(np.float32)
+    return np.concatenate([ids, whole]).astype(np.int32), np.concatenate([values, np.ones(len(whole))]).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """labels: doc_id, quality 0/1, toxic 0/1; rows with a null in any of them are left out."""
-    grade = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).otherwise(0)
+    """labels: doc_id, quality 0/1, toxic 0/1; rows with a null in any of them are left out. Of labels with one id the worst grade counts, and of documents with
+    one id the first text by code points: one row an id comes to the driver."""
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    grade = F.when(toxic.isNull() | good.isNull(), None).when(toxic, 0).when(good, 2).otherwise(1)
     rated = labels.select(F.col("doc_id").cast("long").alias("doc"), grade.alias("grade")).where("doc is not null and grade is not null").groupBy("doc").agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc"), "doc").limit(sample)
 
@@ -115,18 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [_vector(t) for t in b["text"]]
             yield pd.DataFrame({"doc": b["doc"], "grade": b["grade"], "ids": [i.tobytes() for i, _ in rows], "vals": [v.tobytes() for _, v in rows]})
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(rated), "doc")
-    seen: dict[int, tuple] = {}
-    for r in found.mapInPandas(features, "doc long, grade int, ids binary, vals binary").toLocalIterator():
-        row = (r.grade, np.frombuffer(r.ids, dtype=np.int32), np.frombuffer(r.vals, dtype=np.float32))
-        if r.doc not in seen or (r.ids, r.vals) < (seen[r.doc][1].tobytes(), seen[r.doc][2].tobytes()):
-            seen[r.doc] = row  # of rows with one id, one counts
+    found = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text")).join(F.broadcast(rated), "doc")
+    found = found.groupBy("doc", "grade").agg(F.min("text").alias("text"))
+    rows = found.mapInPandas(features, "doc long, grade int, ids binary, vals binary").toLocalIterator()
+    seen = {r.doc: (r.grade, np.frombuffer(r.ids, dtype=np.int32), np.frombuffer(r.vals, dtype=np.float32)) for r in rows}
     return fit([seen[d] for d in sorted(seen)])
 
 
-def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def grade(docs: DataFrame, model: Ordinal, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with n_words, expected_grade, clean (P(grade = 2)) and kept (clean >= threshold). Null and empty texts are graded by their length alone
-    and never kept. The model is 1 MB, whatever the corpus."""
+    and never kept; long texts are read whole. Columns that docs has already keep their names and values: a result of the same name gets an underscore.
+    The model is 1 MB, whatever the corpus."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     known: dict[bytes, float] = {}
 
@@ -145,16 +156,25 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
         n, s = [], []
         for t in texts:
             words = (t or "").encode("utf-8", "surrogatepass").split()
-            got = list(map(known.get, words))
+            distinct, weights = _counted(words)
+            got = list(map(known.get, distinct))
             if None in got:
-                got = [value(x) if v is None else v for x, v in zip(words, got, strict=True)]
+                got = [value(x) if v is None else v for x, v in zip(distinct, got, strict=True)]
             n.append(len(words))
-            s.append(math.fsum(got) / math.sqrt(max(1, len(words))) + float(w[text_features(words)].sum()))
+            s.append(math.sumprod(got, weights) + float(w[text_features(words)].sum()))
         tails = m.tails(np.array(s, dtype=np.float64).reshape(-1))
         return pd.DataFrame({"n_words": n, "expected_grade": tails.sum(axis=1), "clean": tails[:, 1]})
 
-    out = docs.withColumn("graded", score(F.col(text_col)))
-    return out.select(*docs.columns, "graded.n_words", "graded.expected_grade", "graded.clean", ((F.col("graded.clean") >= threshold) & (F.col("graded.n_words") > 0)).alias("kept"))
+    g, names = F.col("graded"), free_names(docs, ["n_words", "expected_grade", "clean", "kept"])
+    out = packed(docs, text=text_col).withColumn("graded", score(F.col("text")))
+    results = (g["n_words"], g["expected_grade"], g["clean"], (g["clean"] >= threshold) & (g["n_words"] > 0))
+    return out.select("row.*", *[r.alias(n) for r, n in zip(results, names, strict=True)])
+
+
+def keep(docs: DataFrame, model: Ordinal, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that grade() keeps, with docs' own columns."""
+    kept = free_names(docs, ["n_words", "expected_grade", "clean", "kept"])[-1]
+    return grade(docs, model, text_col, threshold).where(F.col(kept)).select(docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

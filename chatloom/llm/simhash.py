@@ -1,23 +1,22 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-A fingerprint has lanes of 64 bits. Every bit in use gets a vector m(i) of radius + 1 bits; for each non-zero v of
-radius + 1 bits there is one table, whose key holds the bits i with <m(i), v> = 1. If two lanes differ in at most
-`radius` bits, their vectors span less than the whole space, some v is orthogonal to them all, and in that table the two
-keys are equal: no pair within the radius is missed. With several lanes, a pair that differs in at most
-lanes * (radius + 1) - 1 bits has a lane within the radius.
+A fingerprint has 64 bits, each the majority of that bit of the text's shingle hashes. Every bit gets a vector m(i) of radius + 1 bits; for each
+non-zero v of radius + 1 bits there is one table, whose key holds the bits i with <m(i), v> = 1. If two fingerprints differ in at
+most `radius` bits, their vectors span less than the whole space, some v is orthogonal to them all, and in that table the two
+keys are equal: no pair within the radius is missed.
 
 Equal fingerprints are joined before the search, so copies never meet as pairs. Buckets of at most SMALL
-fingerprints are compared pair by pair. Members of larger ones ("crowded") are linked in linear work:
-* one lane, linked at the covering radius: x and y differ in at most 2 t bits if and only if they share a point that
-  differs from either in at most t bits; each crowded fingerprint emits those points, and equal points link (exact);
-* otherwise the members of a crowded bucket are compared with PIVOTS of them, those that no pivot
-  reaches go to the next round with new pivots, until the rest is small enough for pairs.
-
-With a `similarity` nothing is estimated: the links are all pairs of texts whose sets of distinct shingles have at least that Jaccard
-similarity. All sets are put into one order of shingles. A set of n can only be that similar to one that shares a shingle with it among the
+fingerprints are compared pair by pair. Members of larger ones are linked in linear work: x and y differ in at most 2 t bits if and
+only if they share a point that differs from either in at most t bits; each crowded fingerprint emits those points, and equal points link.
+
+With a `similarity` the links are all pairs of texts whose sets of distinct shingles have at least that Jaccard similarity, and no pair is lost. No
+radius of 64 bits could promise that: sets of similarity 0.8 differ in about 10 bits, often in 15, which would take 2^16 tables. So the covering tables
+come first: in each bucket all are compared with the leader (the smallest hash of a name, alike in all buckets), and each text is checked exactly against
+the leader it met most often. What this connects needs no further search, and it connects crowds of copies in linear work. What is left is
+searched exactly. All sets are put into one order of shingles. A set of n can only be that similar to one that shares a shingle with it among the
 first n - ceil(similarity * n) + 1 of both, its prefix (prefix filter), and the places of the first shared one bound how many are shared. Any order does; shingles
 that a sample of texts finds often come last, so that few texts meet by them. Only components are asked for, so pairs already connected
-are not compared. Where over SMALL texts meet by a shingle, some of them (pivots, those with most links first, four times as many each round) are compared with all
+are not compared. Where over SMALL texts meet by a shingle, some of them (pivots, those with most links first, eight times as many each round) are compared with all
 others there that are not connected to them, and only they leave (only texts that could be as similar to one of their own size by it need be pivots): a text that was merely reached by a link stays to be a pivot, as others may be reached
 through it alone. A shingle is done with when all its texts are connected, or pair by pair when SMALL are left.
 """
@@ -35,13 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, split_words, table, with_row_id
+from .common import components, discard, materialize, numbered, quoted, split_words, table
 
 SMALL, PIVOTS, SEED = 24, 8, 42
+#: Radius of the covering tables that are tried first when a similarity is asked for.
+FIRST_RADIUS = 4
 #: For the order of shingles: about so many texts are sampled, and so many shingles at most that OFTEN of them or more have come last.
 SAMPLED, OFTEN, COMMON = 16384, 4, 1 << 18
-#: Odd multipliers that derive further lanes from a shingle's hash (the splitmix64 finaliser).
-MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -55,42 +54,20 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((h(buf[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
-def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
-    """Majority bits of the hashes, 64 to a lane, as signed longs. Lane 0 takes the hashes as they are."""
-    ones = np.zeros(64 * lanes, dtype=np.int64)
-    for at in range(0, len(h), 64 * 255):
-        block = h[at : at + 64 * 255]
-        rows = np.empty((len(block), lanes), dtype=">u8")
-        rows[:, 0] = block
-        for lane in range(1, lanes):
-            x = block + np.uint64(MIX[2] * lane & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[0])
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[1])
-            rows[:, lane] = x ^ (x >> np.uint64(31))
-        octets = rows.view(np.uint8).reshape(-1, 8 * lanes)
-        for a in range(0, len(octets), 255):  # as many as a byte can count
-            ones += np.add.reduce(np.unpackbits(octets[a : a + 255], axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(h)).view(">i8").tolist()
+def fingerprint(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
+    ones = np.zeros(64, dtype=np.int64)
+    octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for a in range(0, len(octets), 255):  # as many as a byte can count
+        ones += np.add.reduce(np.unpackbits(octets[a : a + 255], axis=1), axis=0, dtype=np.uint8)
+    return int(np.packbits(ones * 2 > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
-    """(doc, fp array of long); a text without words has all bits zero."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for b in batches:
-                yield pd.DataFrame({"doc": b["doc"], "fp": [lanes_of(shingle_hashes(t, words), lanes) for t in b["text"]]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, "doc long, fp array<long>")
-
-
-def covering_masks(radius: int, used: int = 64, seed: int = SEED) -> list[int]:
-    """2^(radius+1) - 1 masks over `used` of the 64 bits, such that any two words within the radius agree under one of them."""
-    rng = np.random.default_rng(seed)
+def covering_masks(radius: int, seed: int = SEED) -> list[int]:
+    """2^(radius+1) - 1 masks over 64 bits, such that any two words within the radius agree under one of them."""
     dims = radius + 1
     vectors = np.zeros(64, dtype=np.int64)
-    bits = rng.permutation(64)[:used]
-    vectors[bits] = [1 + i % ((1 << dims) - 1) for i in range(used)]  # every vector about equally often, none of the used bits zero
+    vectors[np.random.default_rng(seed).permutation(64)] = [1 + i % ((1 << dims) - 1) for i in range(64)]  # every vector about equally often, none zero
     return [sum(1 << i for i in range(64) if int(vectors[i] & v).bit_count() % 2) for v in range(1, 1 << dims)]
 
 
@@ -98,14 +75,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def _within(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose fingerprints differ in at most `most` bits."""
-    x = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
-    return x.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b").where(distance("fa", "fb") <= most).select("a", "b")
+def _keys(fp: Column, radius: int) -> Column:
+    """An array of the keys of all tables; a table's number is in its keys."""
+    return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(radius))])
 
 
 def _ball(fp: Column, t: int) -> Column:
@@ -113,46 +85,22 @@ def _ball(fp: Column, t: int) -> Column:
     return F.transform(F.array(*[F.lit(_signed(x)) for x in flips]), lambda x: x.bitwiseXOR(fp))
 
 
-def links(nodes: DataFrame, radius: int, lanes: int, used: int, most: int) -> DataFrame:
-    """Edges (a, b) that connect what lies within `most` bits. nodes: (node, fp), distinct fingerprints."""
-    masks = covering_masks(radius, used)
-    keys = [F.xxhash64(F.lit(lane * len(masks) + i), F.col("fp")[lane].bitwiseAND(F.lit(_signed(m)))) for lane in range(lanes) for i, m in enumerate(masks)]
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that connect what lies within the radius, which is 2 or 4. nodes: one column node, distinct fingerprints."""
+    if radius not in (2, 4):
+        raise ValueError("the radius is 2 or 4")
+    rows = nodes.select("node", F.explode(_keys(F.col("node"), radius)).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = materialize(rows.join(counts, "key"), "buckets")
     groups = member.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("g"))
-    pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    found = _within(groups.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct(), nodes, most)
-    crowded = member.where(f"n > {SMALL}")
-    if lanes == 1 and most == radius and radius % 2 == 0:
-        points = nodes.join(crowded.select("node").distinct(), "node").select("node", F.explode(_ball(F.col("fp")[0], radius // 2)).alias("point"))
-        low = points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-        found = materialize(found.unionByName(points.join(low, "point").where("node <> b").select(F.col("node").alias("a"), "b").distinct()), "found")
-        discard(member)
-        return found
-    out, trash = [materialize(found, "found")], [member]
-    rest = crowded.select("key", "node")
-    while not rest.isEmpty():
-        order = F.struct(F.xxhash64("key", "node").alias("o"), F.col("node").alias("a"))
-        parts = rest.withColumn("part", F.abs(F.xxhash64("node", F.lit(len(out)))) % PIVOTS)
-        pivots = parts.groupBy("key", "part").agg(F.min(order).alias("m")).select("key", F.col("m.a").alias("a"))
-        tried = rest.join(pivots, "key").withColumnRenamed("node", "b").where("a <> b").select("key", "a", "b")
-        good = materialize(_within(tried.select("a", "b").distinct(), nodes, most), "found")
-        reached = tried.join(good, ["a", "b"]).select("key", F.col("b").alias("node")).unionByName(pivots.select("key", F.col("a").alias("node"))).distinct()
-        left = rest.join(reached, ["key", "node"], "left_anti")
-        n = left.groupBy("key").agg(F.count("*").alias("n"))
-        left = materialize(left.join(n, "key"), "buckets")
-        few = left.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("g"))
-        out += [good, materialize(_within(few.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct(), nodes, most), "found")]
-        rest = left.where(f"n > {SMALL}").select("key", "node")
-        trash.append(left)
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.unionByName(more)
-    edges = materialize(edges.distinct(), "found")
-    for old in out + trash:
-        discard(old)
-    return edges
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius
+    pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.size("g")), lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    found = groups.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
+    points = member.where(f"n > {SMALL}").select("node").distinct().select("node", F.explode(_ball(F.col("node"), radius // 2)).alias("point"))
+    low = points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    found = materialize(found.unionByName(points.join(low, "point").where("node <> b").select(F.col("node").alias("a"), "b").distinct()), "found")
+    discard(member)
+    return found
 
 
 def set_name(h: np.ndarray) -> list[int]:
@@ -161,10 +109,10 @@ def set_name(h: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(raw, SEED + k)) for k in (0, 1)] if len(h) else [0, 0]
 
 
-def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many of a sample of texts have, ascending, and their counts. They only order shingles: no result depends on them."""
-    step = max(1, docs.count() // SAMPLED)
-    some = docs.select(F.col(text_col).alias("text")).where(F.abs(F.xxhash64("text") % step) == 0)
+    step = max(1, rows.count() // SAMPLED)
+    some = rows.select("text").where(F.abs(F.xxhash64("text") % step) == 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -172,8 +120,8 @@ def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.
                 yield pd.DataFrame({"h": np.unique(shingle_hashes(t, words)).view(np.int64)})
 
     often = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    rows = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+    got = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in got], dtype=np.int64).view(np.uint64), np.array([r.n for r in got], dtype=np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -186,42 +134,48 @@ def in_order(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarra
     return h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(doc, fp, size, prefix) by row: the name and size of the text's set of shingles, and the first of them that a similar set must meet."""
-    common = _common(docs, text_col, words)
-    keep = lambda n: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """(doc, rid, node): rows' fingerprints; a text without words has all bits zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
-            first = [in_order(h, *common)[: keep(len(h))].view(np.int64) for h in sets]
-            yield pd.DataFrame({"doc": b["doc"], "fp": [set_name(h) for h in sets], "size": [len(h) for h in sets], "prefix": first})
+            yield pd.DataFrame({"doc": b["doc"], "rid": b["rid"], "node": [fingerprint(shingle_hashes(t, words)) for t in b["text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc long, fp array<long>, size int, prefix array<long>")
+    return rows.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, node long")
 
 
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(node, hs): the distinct shingle hashes of each node's text, read from its document of the smallest id."""
+def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc, rid, name, fp, size, prefix): the name, fingerprint and size of the text's set of shingles, and the first of them that a similar set must meet."""
+    common = _common(rows, words)
+    keep = lambda n: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
-            yield pd.DataFrame({"fp": [set_name(h) for h in sets], "hs": [h.view(np.int64) for h in sets]})
+            first = [in_order(h, *common)[: keep(len(h))].view(np.int64) for h in sets]
+            yield pd.DataFrame({"doc": b["doc"], "rid": b["rid"], "name": [set_name(h) for h in sets], "fp": list(map(fingerprint, sets)), "size": [len(h) for h in sets], "prefix": first})
+
+    return rows.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, name array<long>, fp long, size int, prefix array<long>")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    ids = nodes.select(F.col("low").alias("i")).distinct()
-    rows = rows.join(ids, F.col("doc").eqNullSafe(F.col("i")), "left_semi").mapInPandas(run, "fp array<long>, hs array<long>")
-    rows = rows.withColumn("node", F.xxhash64("fp")).join(nodes.select("node"), "node", "left_semi")
-    return rows.groupBy("node").agg(F.any_value("hs").alias("hs"))
 
+def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) whose texts' shingle sets have at least the given Jaccard similarity. Of the texts, one row for each node in a pair is read again."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the given Jaccard similarity."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "hs": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
+
+    texts = rows.select("rid", "text").join(nodes.join(asked, "node", "left_semi").select("node", "rid"), "rid").select("node", "text")
+    sets = materialize(texts.mapInPandas(run, "node long, hs array<long>"), "sets")
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a")
     both, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
-    return x.where(both >= similarity * (total - both) - 1e-9).select("a", "b")
+    out = materialize(x.where(both >= similarity * (total - both) - 1e-9).select("a", "b"), "found")
+    for old in (pairs, sets):
+        discard(old)
+    return out
 
 
 def _may_be(x: Column, y: Column, similarity: float) -> Column:
@@ -231,26 +185,36 @@ def _may_be(x: Column, y: Column, similarity: float) -> Column:
     return (x["root"] != y["root"]) & (shared * (1 + similarity) >= similarity * (x["size"] + y["size"]) - 1e-9)
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, low, size, prefix)."""
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    member = materialize(rows.join(counts, "key"), "buckets")
-    sets = materialize(_shingle_sets(docs, nodes.join(member.select("node").distinct(), "node", "left_semi"), id_col, text_col, words), "sets")
-    found = materialize(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "found")
-    root, trash = None, [counts, member, sets]
+def led_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): each node with the leader that it meets most often in the covering tables. nodes: (node, fp). A row a node at most."""
+    rows = nodes.select("node", F.explode(_keys(F.col("fp"), radius)).alias("key"))
+    lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("b"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m.o", "m.b")
+    met = rows.join(lead, "key").where("node <> b").groupBy("node", "o", "b").agg(F.count("*").alias("n"))
+    return met.groupBy("node").agg(F.min(F.struct(-F.col("n"), "o", "b")).alias("m")).select(F.col("node").alias("a"), F.col("m.b").alias("b"))
+
+
+def similar_links(nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, rid, fp, size, prefix), rid that of a row
+    with the text; rows: (rid, text)."""
+    found = _similar(led_pairs(nodes, FIRST_RADIUS), nodes, rows, words, similarity)
+    root = materialize(components(found), "roots")
+    by_key = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    counts = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    member = materialize(by_key.join(counts, "key"), "buckets")
+    trash = [member]
 
     def rooted(x: DataFrame) -> DataFrame:
-        x = x.select("key", "node", "pos", "size")
-        return x.withColumn("root", F.col("node")) if root is None else x.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return x.select("key", "node", "pos", "size").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return materialize(found.unionByName(_similar(pairs, sets, similarity)), "found")
+        new = _similar(pairs, nodes, rows, words, similarity)
+        out = materialize(found.unionByName(new), "found")
+        trash.extend([found, new])
+        return out
 
     # Of a pair that passes _may_be, the smaller set would pass with one of its own place and size too: one of the two at least is strong.
     strong = (F.col("size") - F.col("pos")) * (1 + similarity) >= 2 * similarity * F.col("size") - 1e-9
-    few, rest, many = [member.where(f"n <= {SMALL}")], member.where(f"n > {SMALL}"), PIVOTS // 2
+    few, rest, many = [member.where(f"n <= {SMALL}")], member.where(f"n > {SMALL}"), PIVOTS
     while True:
         open_ = rooted(rest)
         n = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.bool_or(strong).alias("s")).where("r0 <> r1 and s").select("key", "n")
@@ -268,78 +232,68 @@ def similar_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         tried = crowd.select("key", F.struct("node", "pos", "size", "root").alias("y")).join(pivots, "key").where(_may_be(F.col("x"), F.col("y"), similarity))
         more = linked(tried.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         rest = crowd.join(pivots.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti")
-        trash += [found, pivots] + ([root] if root is not None else [])
-        found, many = more, 4 * many
+        trash += [pivots, root]
+        found, many = more, PIVOTS * many
         root = materialize(components(found), "roots")
     groups = rooted(reduce(DataFrame.unionByName, [x.select("key", "node", "pos", "size") for x in few]))
     groups = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "pos", "size", "root"))).alias("g"))
     pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.size("g")), lambda y: _may_be(x, y, similarity)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     out = linked(groups.select(F.explode(pair).alias("p")).select("p.a", "p.b"))
-    for old in trash + [found] + ([root] if root is not None else []):
+    for old in [*trash, root]:
         discard(old)
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, radius: int = 2, used: int = 64, most: int | None = None, similarity: float | None = None) -> DataFrame:
-    """(doc, fp, component): component is the smallest id that links reach from the document, its own included.
+def _grouped(rows: DataFrame, words: int, radius: int, similarity: float | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, rid, node, root) of rows (doc, rid, text), and the tables under it. root names the component; rows with equal ids share what they reach."""
+    if similarity is None:
+        fps = materialize(_fingerprints(rows, words), "fingerprints")
+        nodes = materialize(fps.select("node").distinct(), "nodes")
+    else:
+        fps = materialize(_prefixes(rows, words, similarity).withColumn("node", F.xxhash64("name")), "prefixes")
+        nodes = fps.groupBy("node").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in ("fp", "size", "prefix")])
+        nodes = materialize(nodes, "nodes")
+    same_id = fps.where("doc is not null").select("doc", "node").distinct()
+    again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
+    edges = links(nodes, radius) if similarity is None else similar_links(nodes, rows, words, similarity)
+    both = edges.unionByName(same_id.join(again, "doc").select("a", F.col("node").alias("b")).where("a <> b"))
+    roots = materialize(components(both), "roots")
+    out = fps.select("doc", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return out, [fps, nodes, edges, roots]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """(doc, fp, component): component is the smallest id that links reach from the document, its own included; fp is the fingerprint or, with a
+    similarity, a hash that names the set of shingles.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids share what they reach. A
-    null id stays null and is never the smallest; a component of null ids alone has a null component. Ids are read as long.
-    With a similarity, links are all pairs of that exact similarity of the texts' shingle sets, and fp names the set; lanes (several
-    are asked for), radius, used and most, which are of the search by fingerprints, then change nothing.
+    null id stays null and is never the smallest; a component of null ids alone has a null component. Ids are read as long. Other columns take no part, whatever their names. No rows give none.
+    With a similarity, links are all pairs of that exact similarity of the texts' sets of shingles; the radius then changes nothing.
     """
-    most = radius if most is None else most
-    checked = similarity is not None
-    if checked and lanes == 1:
-        raise ValueError("a similarity needs several lanes")
-    if checked:
-        fps = materialize(_prefixes(docs, id_col, text_col, words, similarity), "prefixes")
-        nodes = fps.groupBy("fp").agg(F.min("doc").alias("low"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
-        fps = fps.select("doc", "fp")
-    else:
-        fps = materialize(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
-        nodes = fps.groupBy("fp").agg(F.min("doc").alias("low"))
-    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
-    nodes = materialize(nodes.withColumn("node", node), "nodes")
-    same_id = fps.where("doc is not null").select("doc", node.alias("node")).distinct()
-    again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("c"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
-    edges = similar_links(nodes, docs, id_col, text_col, words, similarity) if checked else links(nodes, radius, lanes, used, most)
-    edges = edges.unionByName(same_id.join(again, "doc").select("a", F.col("node").alias("b")).where("a <> b"))
-    roots = nodes.select("fp", "low", "node").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = roots.groupBy("root").agg(F.min("low").alias("component"))
-    named = materialize(roots.join(low, "root").select(F.col("fp"), "component"), "classes")
-    return fps.join(named, "fp").select("doc", "fp", "component")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The document with the smallest id of every component, whole; of rows with that same id one stays. Rows without an id stay if
-    no row with an id is in their component, one for each component, of which the first by text is taken."""
-    found = near_duplicates(docs, id_col, **how)
-    rows = with_row_id(docs)
-    low = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("component")).agg(F.min("rid").alias("rid"))
-    keep = low.join(found.select("component").distinct(), "component", "left_semi").select("rid")
-    ided = rows.join(keep, "rid", "left_semi")
-    lone = docs.where(F.col(id_col).isNull())
-    if lone.isEmpty():
-        return ided.select(docs.columns)
-    alone = found.where("doc is null and component is null").select("fp").distinct()
-    text = how.get("text_col", "text")
-    lanes = None if how.get("similarity") is not None else how.get("lanes", 1)
-    marked = _with_fp(lone, text, how.get("words", 3), lanes).join(alone, "fp", "left_semi").dropDuplicates(["fp"])
-    return ided.select(docs.columns).unionByName(marked.select(docs.columns))
-
-
-def _with_fp(docs: DataFrame, text_col: str, words: int, lanes: int | None) -> DataFrame:
-    """docs with fp; without lanes it names the set of shingles."""
-
-    @F.pandas_udf("array<long>")
-    def fp(texts: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            return pd.Series([lanes_of(h, lanes) if lanes else set_name(np.unique(h)) for h in (shingle_hashes(t, words) for t in texts)])
-
-    return docs.withColumn("fp", fp(F.col(text_col)))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    if similarity is not None:
+        rows = materialize(rows, "rows")
+    grouped, trash = _grouped(rows, words, radius, similarity)
+    # The smallest id by root, for roots of several nodes; most texts are alone with theirs.
+    low = grouped.groupBy("root").agg(F.min("doc").alias("component"))
+    out = materialize(grouped.join(low, "root").select("doc", F.col("node").alias("fp"), "component"), "classes")
+    for old in trash + ([rows] if similarity is not None else []):
+        discard(old)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """The row with the smallest id of every component, whole, with docs' own columns. Of rows with that same id one stays, any of them; a row without an id stays
+    only if no row of its component has one, one row for each such component."""
+    rows = numbered(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
+    grouped, trash = _grouped(rows, words, radius, similarity)
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("m")
+    keep = materialize(grouped.groupBy("root").agg(first).select("m.rid"), "kept")
+    for old in trash:
+        discard(old)
+    return rows.join(keep, "rid", "left_semi").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

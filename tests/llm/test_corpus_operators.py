@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import line_dedup, line_rules, merkle, mixing, mtree, packing, pitman_yor, quality, simhash, url_filter
 
+NEAR = {"words": 5, "similarity": 0.8}
 LONG = " ".join(f"long{i % 977}" for i in range(6000))
 DOCS = [(1, "a b c d"), (2, None), (3, ""), (4, "A B\tC d"), (None, "x y z"), (5, "x y z"), (5, "x y z"), (6, LONG), (7, "é ü\n\nß"), (8, " \n ")]
-SCHEMA = "doc_id long, text string, source string, rid long, key string, node long, n long, h string, tokens string"
+#: Columns named like those inside the operators and like their results.
+EXTRA = ("rid", "key", "node", "n", "h", "tokens", "row", "doc", "copies", "cut", "graded", "judged", "kept", "n_words", "clean", "n_removed", "size", "root", "name", "fp", "id", "v", "score", "token")
+SCHEMA = "doc_id long, text string, source string, " + ", ".join(f"{c} long" for c in EXTRA)
 
 
 def frame(spark, rows, sources=("b", None, "a")):
-    """Docs with columns named like those inside the operators."""
-    return spark.createDataFrame([(d, t, sources[i % len(sources)], 0, "k", 1, 2, "h", "t") for i, (d, t) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame([(d, t, sources[i % len(sources)], *(1000 * k + i for k in range(len(EXTRA)))) for i, (d, t) in enumerate(rows)], SCHEMA)
+
+
+def same_extras(out, docs):
+    """Every row that came out has the other columns of a row that went in, by name and value."""
+    came_in = {tuple(r) for r in docs.select("source", *EXTRA).collect()}
+    return out.columns[: len(docs.columns)] == docs.columns and {tuple(r) for r in out.select("source", *EXTRA).collect()} <= came_in
 
 
 def test_line_dedup(spark):
@@ -29,16 +37,16 @@ def test_line_dedup(spark):
     out = line_dedup.dedup_lines(frame(spark, rows))
     got = {}
     for r in out.collect():
-        got.setdefault(r.doc_id, []).append((r.text, r.n_removed))
-    assert out.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_removed"]
+        got.setdefault(r.doc_id, []).append((r.text, r.n_removed_))
+    assert same_extras(out, frame(spark, rows)) and out.columns[-2:] == ["n_lines", "n_removed_"]
     assert got[1] == [("own one\n" + passage, 0)] and got[2] == [("own two\nend", 4)] and got[3] == [(line(1, 30), 0)]
     assert sorted(got[4]) == [("", 1), (line(4, 60), 0)] and got[5] == [("", 1)] and got[6] == [(None, 0)] and got[7] == [("", 0)]
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_simhash_covers_and_links(spark):
-    for radius, used in ((2, 64), (4, 48)):
-        masks, rng = simhash.covering_masks(radius, used), random.Random(1)
+    for radius in (2, 4):
+        masks, rng = simhash.covering_masks(radius), random.Random(1)
         assert len(masks) == 2 ** (radius + 1) - 1
         for _ in range(300):
             x = sum(1 << b for b in rng.sample(range(64), radius))
@@ -47,37 +55,49 @@ def test_simhash_covers_and_links(spark):
     assert got == {(1, 1), (4, 1), (2, 2), (3, 2), (8, 2), (None, 5), (5, 5), (6, 6), (7, 7)}
     assert simhash.near_duplicates(frame(spark, DOCS).limit(0)).count() == 0
     kept = simhash.drop_near_duplicates(frame(spark, DOCS))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7] and kept.columns == frame(spark, DOCS).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7] and same_extras(kept, frame(spark, DOCS))
+    assert simhash.drop_near_duplicates(frame(spark, [(None, "a b c"), (None, "A b c"), (None, "x")])).count() == 2
+
+
+def test_fingerprint_brute():
+    """Bit by bit, over more hashes than a byte counts."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 254, 255, 256, 1000):
+        h = rng.integers(0, 1 << 64, size=n, dtype=np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
+        assert simhash.fingerprint(h) == simhash._signed(want)
 
 
-@pytest.mark.parametrize("lanes", [1, 4])
-def test_simhash_crowds(spark, lanes):
+@pytest.mark.parametrize("radius", [2, 4])
+def test_simhash_crowds(spark, radius):
     """A crowd of near fingerprints, more than a bucket compares pair by pair."""
     rng = random.Random(2)
-    base = [rng.getrandbits(64) for _ in range(lanes)]
-    words = {tuple(simhash._signed(b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(2)))) for b in base) for _ in range(400)}
-    words |= {tuple(simhash._signed(rng.getrandbits(64)) for _ in range(lanes)) for _ in range(60)}
+    base = rng.getrandbits(64)
+    words = {simhash._signed(base ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(radius)))) for _ in range(300)}
+    words |= {simhash._signed(rng.getrandbits(64)) for _ in range(60)}
     nodes = sorted(words)
-    df = spark.createDataFrame([(i, list(w)) for i, w in enumerate(nodes)], "node long, fp array<long>")
-    most = 2 if lanes == 1 else 8
-    root = list(range(len(nodes)))
+    df = spark.createDataFrame([(w,) for w in nodes], "node long")
+    at = {w: i for i, w in enumerate(nodes)}
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def roots(pairs):
+        root = list(range(len(nodes)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
 
-    def join(pairs):
         for a, b in pairs:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
         return [find(x) for x in range(len(nodes))]
 
-    got = join([(r.a, r.b) for r in simhash.links(df, 2 if lanes == 1 else 4, lanes, 64 if lanes == 1 else 48, most).collect()])
-    root = list(range(len(nodes)))
-    dist = lambda x, y: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x, y, strict=True))
-    want = join([(i, j) for i in range(len(nodes)) for j in range(i) if dist(nodes[i], nodes[j]) <= most])
-    assert got == want
+    dist = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    got = [(r.a, r.b) for r in simhash.links(df, radius).collect()]
+    assert all(dist(a, b) <= radius for a, b in got)
+    assert roots((at[a], at[b]) for a, b in got) == roots((i, j) for i in range(len(nodes)) for j in range(i) if dist(nodes[i], nodes[j]) <= radius)
+    with pytest.raises(ValueError):
+        simhash.links(df, 3)
 
 
 def test_simhash_similar_sets(spark):
@@ -92,7 +112,7 @@ def test_simhash_similar_sets(spark):
         texts.append(" ".join(w))
     texts += [" ".join(base[:150] + [f"half{i}" for i in range(150)]), " ".join(f"alone{i}" for i in range(40)), LONG, LONG + " end"]
     rows = list(enumerate(texts)) + [(None, "one two"), (None, "n m")]
-    how = {"words": 5, "lanes": 6, "radius": 4, "used": 40, "most": 96, "similarity": 0.8}
+    how = NEAR
     sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     root = list(range(len(texts)))
     for i, x in enumerate(sets):
@@ -105,9 +125,7 @@ def test_simhash_similar_sets(spark):
     assert sorted((r.component for r in got if r.doc is None), key=str) == [3, None]
     kept = simhash.drop_near_duplicates(frame(spark, rows), **how)
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, *sorted(set(low.values()))]
-    assert simhash.near_duplicates(frame(spark, rows).limit(0), **how).count() == 0
-    with pytest.raises(ValueError):
-        simhash.near_duplicates(frame(spark, rows), similarity=0.8)
+    assert same_extras(kept, frame(spark, rows)) and simhash.near_duplicates(frame(spark, rows).limit(0), **how).count() == 0 and simhash.drop_near_duplicates(frame(spark, rows).limit(0), **how).count() == 0
 
 
 def brute_components(texts, words, similarity):
@@ -121,9 +139,6 @@ def brute_components(texts, words, similarity):
     return root
 
 
-NEAR = {"words": 5, "lanes": 6, "radius": 4, "used": 40, "most": 96, "similarity": 0.8}
-
-
 def test_similar_star(spark):
     """Copies of one text, each of which only the original is similar to: what a pivot reaches is a way to others."""
     rng = random.Random(9)
@@ -167,7 +182,12 @@ def test_mixing(spark):
     for s, t in targets.items():
         assert abs(sum(r.copies * r["size"] for r in out if r.source_size == s) - t) <= 1 and t <= 2 * s + 1e-9
     assert sorted(out) == sorted(mixing.mix(frame(spark, rows)).collect()) and mixing.mix(frame(spark, rows).limit(0)).count() == 0
-    assert mixing.take_mix(frame(spark, rows)).columns == frame(spark, rows).columns
+    taken = mixing.take_mix(frame(spark, rows).repartition(5, "text"))  # rows behind a shuffle
+    assert same_extras(taken, frame(spark, rows)) and Counter(r.doc_id for r in taken.collect()) == Counter({r.doc: r.copies for r in out if r.copies})
+    assert mixing.take_mix(frame(spark, rows).limit(0)).count() == 0
+    hot = [(i, "a b c") for i in range(3000)] + [(5000, "a b"), (5001, "z")]
+    out = mixing.mix(frame(spark, hot, ("one",)), share=0.5).collect()  # one length has all but two documents
+    assert abs(sum(r.copies * r["size"] for r in out) - 0.5 * 9003) <= 1
 
 
 def test_fit_lengths():
@@ -184,6 +204,11 @@ def test_fit_lengths():
             reach = {x + k * n for x in reach for k in range(c + 1)}
         got = int((take * lengths).sum())
         assert got <= budget and (budget > 2 * lengths[-1] or got == max(x for x in reach if x <= budget))
+        assert got >= max(x for x in reach if x <= budget) - 2 * int(lengths[-1])  # the bulk is spread, what is left is fitted
+    for _ in range(30):  # many documents of many lengths: every budget can be met, and is
+        lengths, counts = np.arange(1, 41), rng.integers(3, 9, size=40)
+        budget = int(rng.integers(0, int((lengths * counts).sum())))
+        assert int((mixing.fit_lengths(lengths, counts, budget) * lengths).sum()) == budget
 
 
 def test_packing_round_trip(spark):
@@ -192,8 +217,7 @@ def test_packing_round_trip(spark):
 
     path = public.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["a  b\n c", "  x", "don't  we'll", "tab\t a \t b", "end ", "", None, "<|endoftext|> a", "x \x1c y", "é́ \x85 z 12 3.4", LONG, "a b", "a\nb c\nd e"]
+    odd = ["a  b\n c", "  x", "don't  we'll", "tab\t a \t b", "end ", "", None, "<|endoftext|> a", "a<|endoftext|><|endoftext|>  b <|endoftext|>", "<|endoftext |> <|end", "x \x1c y", "é́ \x85 z 12 3.4", LONG, "a b", "a\nb c\nd e"]
     for x in odd:
         assert np.frombuffer(packing.token_bytes(x, path), dtype="<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
     pieces = packing.pack(frame(spark, list(enumerate(odd))), path).collect()
@@ -233,15 +257,26 @@ def labelled(spark, n=400):
     return rows, spark.createDataFrame([*labels, (None, 1, 0), (9999, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_quality_null_labels(spark):
+    """A label with a null is no label, whatever the other column says."""
+    docs = frame(spark, [(i, f"word{i} and more") for i in range(6)])
+    nulls = spark.createDataFrame([(0, None, None), (1, 1, None), (2, None, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, nulls)
+    assert not model.weights.any() and model.thresholds == (-10.0, -9.0)
+
+
 def test_quality_held_out(spark):
     rows, labels = labelled(spark)
     docs = frame(spark, rows + DOCS[1:3])
     model = quality.train(docs, labels.where("doc_id < 250 or doc_id is null"))
     out = quality.grade(docs, model)
-    kept = {r.doc_id: r.kept for r in out.collect() if r.n_words}
+    kept = {r.doc_id: r.kept_ for r in out.collect() if r.n_words_}
     held = range(250, 400)
-    assert np.mean([kept[i] == (i % 4 > 1) for i in held]) > 0.95 and all(0 <= r.clean <= r.expected_grade <= 2 for r in out.collect())
-    assert [r.kept for r in out.where("n_words = 0").collect()] == [False, False]
+    assert same_extras(out, docs) and same_extras(quality.keep(docs, model), docs) and quality.keep(docs, model).columns == docs.columns
+    assert np.mean([kept[i] == (i % 4 > 1) for i in held]) > 0.95 and all(0 <= r.clean_ <= r.expected_grade <= 2 for r in out.collect())
+    assert [r.kept_ for r in out.where("n_words_ = 0").collect()] == [False, False]
+    twice = docs.unionByName(docs.where("doc_id < 30")).unionByName(frame(spark, [(7, LONG)]))
+    assert abs(quality.train(twice, labels).thresholds[0] - quality.train(docs, labels).thresholds[0]) < 0.2 and quality.grade(twice, model).count() == twice.count()
     assert quality.train(docs, labels.limit(0)).weights.sum() == 0 and quality.grade(docs.limit(0), model).count() == 0
 
 
@@ -260,10 +295,14 @@ def test_line_rules(spark):
     docs = frame(spark, rows + DOCS)
     field = line_rules.train(docs, labels)
     out = {r.doc_id: r for r in line_rules.apply_rules(docs, field).collect()}
-    assert np.mean([out[i].kept == (i % 4 > 0) for i in range(100, 400)]) > 0.95
+    assert np.mean([out[i].kept_ == (i % 4 > 0) for i in range(100, 400)]) > 0.95 and same_extras(line_rules.apply_rules(docs, field), docs)
+    halves = {r[0]: r[1].split("\n") for r in rows}
+    mixed = [(1000 + i, "\n".join(halves[2 + 4 * i][:6] + halves[4 * i][:6] + halves[2 + 4 * i][6:])) for i in range(20)]
+    shares = [r.content_share for r in line_rules.apply_rules(frame(spark, mixed), field).collect()]
+    assert all(0 < x < 1 for x in shares) and 0.4 < np.mean(shares) < 0.8
     assert line_rules.apply_rules(docs.limit(0), field).count() == 0
     empty = line_rules.apply_rules(docs.where("text is null"), line_rules.train(docs, labels.limit(0))).first()
-    assert (empty.n_words, empty.base_failed, empty.kept) == (0, True, False)
+    assert (empty.n_words_, empty.base_failed, empty.kept_) == (0, True, False)
     feats = [[i % 3, 20] for i in range(5)]
     best = max(range(32), key=lambda m: (lambda y: field.start[y[0]] + sum(field.emit[feats[i]].sum() * y[i] for i in range(5)) + sum(field.move[y[i], y[i + 1]] for i in range(4)))([m >> i & 1 for i in range(5)]))
     assert field.decode(feats) == [best >> i & 1 for i in range(5)]
@@ -271,12 +310,12 @@ def test_line_rules(spark):
 
 def test_line_rules_learn_from_late_lines(spark):
     """What tells the labels apart stands behind the first pieces of long texts alone."""
-    plain, odd = "a plain line of words that ends well.", "### $$$ *** ### $$$ ***"
+    plain, odd = (lambda k: f"plain line {k} of words that ends well."), (lambda k: f"### $$$ *** ### {k} $$$ ***")  # lines that repeat are boilerplate anyway
     head = [f"{i} head line" for i in range(3 * line_rules.LONGEST)]
-    rows = [(i, "\n".join(head + [plain if i % 2 else odd] * 20)) for i in range(40)]
+    rows = [(i, "\n".join(head + [(plain if i % 2 else odd)(k) for k in range(20)])) for i in range(40)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     field = line_rules.train(frame(spark, rows), labels)
-    assert field.decode(line_rules.lines_of("\n".join([plain] * 6))[0]) == [1] * 6 and field.decode(line_rules.lines_of("\n".join([odd] * 6))[0]) == [0] * 6
+    assert field.decode(line_rules.lines_of("\n".join(map(plain, range(6))))[0]) == [1] * 6 and field.decode(line_rules.lines_of("\n".join(map(odd, range(6))))[0]) == [0] * 6
 
 
 def test_mtree_exact(spark):
@@ -292,6 +331,12 @@ def test_mtree_exact(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(top)]
     assert [tuple(r) for r in got] == sorted(want)
     assert mtree.top_k(df.limit(0), F.col("id") % 2 == 0).count() == 0
+    big = [(1, [2e15, 1.0]), (2, [1.0, 3e15]), (3, [2e15, 2.0]), (4, [-1e300, 1.0]), (5, [0.5, 0.25]), (6, [1e9 + 0.5, 1e9]), (7, [1e9, 1e9 + 0.5])]
+    got = mtree.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("id") >= 0).collect()
+    ints = {i: [int(256 * c) if abs(c) < 1e15 else 256 * int(c) for c in v] for i, v in big}
+    for q in ints:
+        top = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=True)), i) for i, x in ints.items() if i != q)[:5]
+        assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in top]
 
 
 def test_urls(spark):
@@ -308,12 +353,36 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_urls_judged(spark):
+    """Ordinary hosts are let through, whatever rules say of their language; hosts with an unwanted word are not, nor what keeps company with such words."""
+    rng, syllables = random.Random(12), ["tion", "the", "ing", "and", "ou", "ble", "es", "er"]
+    host = lambda: "".join(rng.choices(syllables, k=3))
+    ordinary = [(i, f"http://{rng.choice(['', 'www.', 'm.'])}{host()}.example.{rng.choice(['org', 'net', 'com'])}/{rng.choice(['en', 'es', 'fr'])}/{i}") for i in range(800)]
+    words = ["casino", "freebets", "adult", "pokerwin", "xxx-slots"]
+    bad = [(1000 + i, f"http://{rng.choice(words)}{rng.choice(['', '-zoom'])}.example.org/en/{i}") for i in range(80)]
+    alone = [(2000, "http://zoom.example.org/en/1")]
+    df = spark.createDataFrame([(i, u, "<p>" + " ".join(syllables) + " zoom</p>") for i, u in ordinary + bad + alone], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
+    assert np.mean([got[i].verdict == "block" for i, _ in ordinary if got[i].rule is None]) < 0.05
+    assert np.mean([got[i].verdict == "block" for i, _ in bad if got[i].rule is None]) > 0.95
+    assert got[2000].score > 0 and url_filter.judge_urls(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "ab" * 3000 + ".org/" + "x/" * 5000, None)], df.schema)
+    assert url_filter.judge_urls(long).first().verdict == "allow"
+
+
 def test_merkle(spark):
     rows = [(i, f"u{i}", f"p{i}") for i in range(700)] + [(None, None, None), (3, "u3", "p3")]
     a = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("node", F.lit("x"))
     b = a.where("page_id is null or page_id <> 9").withColumn("html", F.when(F.col("page_id") == 300, "bad").otherwise(F.col("html"))).unionByName(a.where("page_id = 5"))
-    got = sorted((r.position, r.status) for r in merkle.fixity(merkle.archive(a), merkle.archive(b)).collect())
-    assert got == [(5, "count"), (9, "missing"), (300, "corrupt")]
+    found = merkle.fixity(merkle.archive(a), merkle.archive(b)).collect()
+    assert sorted((r.position, r.status) for r in found) == [(5, "count"), (9, "missing"), (300, "corrupt")]
+    block = lambda u, p: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(p)}\r\n\r\n{p}\r\n\r\n"
+    file = "".join(block(u, p) for i, u, p in sorted((r for r in rows if r[0] is not None)))
+    for r in found:  # the range is where the record lies in the archive
+        assert r.warc_file == 0 and file[r.range_offset : r.range_offset + r.range_length] == block(f"u{r.position}", f"p{r.position}")
+    far = spark.createDataFrame([(i, "u", LONG) for i in (0, 65535, 65536, 65540)], "page_id long, url string, html string")
+    lost = merkle.fixity(merkle.archive(far), merkle.archive(far.where("page_id < 65540"))).first()
+    assert (lost.warc_file, lost.range_offset) == (1, lost.range_length)
     assert merkle.fixity(merkle.archive(a), merkle.archive(a)).count() == 0 and merkle.fixity(merkle.archive(a.limit(0)), merkle.archive(a.limit(0))).count() == 0
     x, y = merkle.tree(merkle.archive(a)), merkle.tree(merkle.archive(a.repartition(7)))
     assert sorted(r.hash for r in x[-1].collect()) == sorted(r.hash for r in y[-1].collect()) and merkle.audit(x, y)[1] == [2]
