@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import line_dedup, mixing, packing, quality, simhash
-from chatloom.llm.common import materialize, table
+from chatloom.llm.common import discard, materialize, table
 
-#: Near duplicates: shingles of five words, a similarity (Jaccard) of 0.8, searched exactly. The numbers of the search by fingerprints, lanes to most, change nothing here.
-NEAR = {"words": 5, "lanes": 6, "radius": 4, "used": 40, "most": 96, "similarity": 0.8}
+#: Near duplicates: shingles of five words, a similarity (Jaccard) of 0.8 or more.
+NEAR = {"words": 5, "similarity": 0.8}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade is at least one half."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.grade(docs, model).where("kept").select(docs.columns)
+    return quality.keep(docs, model)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
