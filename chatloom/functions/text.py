@@ -14,8 +14,7 @@ URL_PATTERN = r"(?iU)\b(?:https?://|www\.)\S+"
 EMAIL_PATTERN = r"(?iU)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE_PATTERN = r"(?U)(?<!\w)(?:\+?\d[\d ().-]{7,}\d)(?!\w)"
 #: The code points that Unicode stripping removes.
-STRIPPED = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_IN_LINE = STRIPPED.replace(r"\n", "")
+STRIPPED = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -31,9 +30,8 @@ def normalize(text: Column, compose: bool = True) -> Column:
     t = F.regexp_replace(t, "\r\n?", "\n")
     t = F.translate(t, "\x00\ufffc", "")
     t = F.regexp_replace(t, r"[\t\f\x0B ]+", " ")
-    t = F.regexp_replace(t, rf"(?<=\A|\n)[{_IN_LINE}]+|[{_IN_LINE}]+(?=\n|\z)", "")
-    t = F.regexp_replace(t, r"\n{4,}", "\n\n\n")
-    return F.regexp_replace(t, rf"\A[{STRIPPED}]+|[{STRIPPED}]+\z", "")
+    t = F.array_join(F.transform(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(STRIPPED))), "\n")
+    return F.btrim(F.regexp_replace(t, r"\n{4,}", "\n\n\n"), F.lit(STRIPPED))
 
 
 def redact(text: Column, urls: bool = True, emails: bool = True, phones: bool = True) -> Column:
@@ -52,6 +50,11 @@ def turn_line(role: Column, text: Column) -> Column:
     return F.concat(F.when(role == "me", ME).otherwise(OTHER), text, F.lit(TURN_END))
 
 
+def delta(shown: Column, text: Column) -> Column:
+    """What a text adds to the one shown before: the whole of it where it does not begin with that, or nothing was shown."""
+    return F.when(F.startswith(text, shown), F.substr(text, F.length(shown) + 1)).otherwise(text)
+
+
 def reply_prompt(history: Column, message: Column) -> Column:
     """The text a reply is generated after. history: array of (role, text), oldest first; null for none."""
     lines = F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,text:string>>")), lambda h: turn_line(h["role"], h["text"]))

@@ -118,3 +118,8 @@ def check_accounting(report: DataFrame, floor: float = RECOVERY_FLOOR) -> None:
         raise RuntimeError(f"rows unaccounted for: {r.asDict()}")
     if r["retained_rows"] + r["excluded_unrecoverable_body"] and r["body_recovery_rate"] < floor:
         raise RuntimeError(f"body recovery rate {r['body_recovery_rate']:.1%} is below {floor:.1%}")
+
+
+def scan_order(messages: DataFrame) -> DataFrame:
+    """Messages in the order of an archive's scan, by date and then row id, nulls first as SQLite has them. A range sort: for output files."""
+    return messages.orderBy(F.col("date").asc_nulls_first(), "ROWID")

@@ -43,3 +43,8 @@ def build_sessions(messages: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES,
 def session_report(messages: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES, merge_minutes: int = MERGE_GAP_MINUTES) -> DataFrame:
     s = sessionize(messages, gap_minutes, merge_minutes).groupBy("chat_id", "session_no").agg(F.count("*").alias("n"), F.countDistinct("turn_no").alias("t"))
     return s.agg(F.sum("n").alias("input_messages"), F.countDistinct("chat_id").alias("chats"), F.count_if(F.col("t") >= 2).alias("sessions"), F.count_if(F.col("t") < 2).alias("discarded"))
+
+
+def in_order(sessions: DataFrame) -> DataFrame:
+    """Sessions as files hold them, by end and id."""
+    return sessions.orderBy("end_ns", "session_id")

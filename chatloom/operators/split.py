@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.ids import content_hash
 from ..plans.ranking import global_rank
+from ..plans.written import written
 from ..schema import DAY_NS, FRACTIONS, GUARD_DAYS
 
 
@@ -31,7 +32,7 @@ def chrono_split(sessions: DataFrame, fractions: tuple[float, float, float] = FR
     """sessions without later copies, with content_hash and split: train, validation, test, or guard (strictly nearer than guard_ns to a boundary)."""
     if abs(sum(fractions) - 1) > 1e-9:
         raise ValueError("fractions must sum to one")
-    unique = first_wins(sessions.withColumn("content_hash", content_hash(F.col("text"))), "content_hash", "end_ns", "session_id")
+    unique = written(first_wins(sessions.withColumn("content_hash", content_hash(F.col("text"))), "content_hash", "end_ns", "session_id"), "unique")
     b1, b2 = boundaries(unique, *fractions[:2])
     end = F.col("end_ns")
     near = F.lit(guard_ns > 0) & ((F.abs(end - b1) < guard_ns) | (F.abs(end - b2) < guard_ns))
@@ -42,6 +43,15 @@ def split_report(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("sessions"), F.min("start_ns").alias("first_ns"), F.max("end_ns").alias("last_ns"))
 
 
+def full_report(sessions: DataFrame, split: DataFrame) -> DataFrame:
+    """One row: sessions in, duplicates removed, sessions in guard bands, hashes that splits share, and counts and spans as one map by split."""
+    n = sessions.agg(F.count("*").alias("input_sessions"))
+    by = split_report(split.where("split <> 'guard'")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", F.struct("sessions", "first_ns", "last_ns"))))).alias("splits"))
+    all_ = split.agg(F.count("*").alias("unique_sessions"), F.count_if(F.col("split") == "guard").alias("guarded_sessions"))
+    out = n.crossJoin(all_).crossJoin(leakage(split).withColumnRenamed("overlap", "cross_split_duplicate_hashes")).crossJoin(by)  # one row each
+    return out.select("input_sessions", (F.col("input_sessions") - F.col("unique_sessions")).alias("duplicates_removed"), "guarded_sessions", "cross_split_duplicate_hashes", "splits")
+
+
 def leakage(split: DataFrame) -> DataFrame:
     """Hashes that two or more of the splits share, counted."""
     return split.where("split <> 'guard'").groupBy("content_hash").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("overlap"))

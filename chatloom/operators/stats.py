@@ -1,15 +1,22 @@
-"""Token statistics: windows, frequencies, unigram baseline, role mask, n-gram overlap, sampling filters, model choice."""
+"""Token statistics: windows, batches, frequencies, unigram baseline, role mask, n-gram overlap, sampling filters, model choice."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import grams, parameter_count, perplexity
-from ..plans.ranking import global_rank
+from ..plans.ranking import global_offset, global_rank
+from ..plans.written import written
 
 CHECKSUM = (1 << 63) - 1
+#: Fixed value: positions of the train stream whose n-grams count as known.
+FIRST_GRAMS = 2_000_000
+#: Distinct n-grams that a join may send to all executors (at 16 numbers each, some 40 MB).
+BROADCAST_GRAMS = 1 << 18
 
 
 def token_report(docs: DataFrame, by: str, ids: str = "ids") -> DataFrame:
@@ -19,14 +26,10 @@ def token_report(docs: DataFrame, by: str, ids: str = "ids") -> DataFrame:
 
 
 def token_stream(docs: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """(key, pos, token): all documents' ids end to end in the order of `key`, which tells rows apart. The offsets come from a distributed prefix sum
-    over whole documents: sums by range, then within the range."""
-    ranked = global_rank(docs.select(key, F.size(ids).cast("long").alias("n"), ids), key).withColumn("block", F.floor(F.col("rank") / 4096))
-    blocks = ranked.groupBy("block").agg(F.sum("n").alias("size"))
-    starts = blocks.withColumn("start", F.sum("size").over(W.orderBy("block")) - F.col("size")).select("block", "start")
-    o = W.partitionBy("block").orderBy("rank")
-    placed = ranked.join(starts, "block").withColumn("at", F.col("start") + F.sum("n").over(o.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    return placed.select(key, "at", F.posexplode(ids).alias("i", "token")).select(key, (F.col("at") + F.col("i")).alias("pos"), "token")
+    """(key, pos, token): all documents' ids end to end in the order of `key`, which tells rows apart. Only keys and sizes are put in order; the ids are joined
+    to their offsets."""
+    placed = global_offset(docs.select(key, F.size(ids).cast("long").alias("n")), key, size="n").select(key, "at")
+    return docs.select(key, ids).join(placed, key).select(key, "at", F.posexplode(ids).alias("i", "token")).select(key, (F.col("at") + F.col("i")).alias("pos"), "token")
 
 
 def windows(stream: DataFrame, context: int) -> DataFrame:
@@ -40,18 +43,59 @@ def inputs_targets(packed: DataFrame, context: int) -> DataFrame:
     return packed.select("window_no", F.slice("ids", 1, context).alias("inputs"), F.slice("ids", 2, context).alias("targets"))
 
 
+def batched(packed: DataFrame, size: int) -> DataFrame:
+    """(batch, inputs, targets): windows stacked `size` at a time in their order, the last batch as it comes out; each an array of arrays of int."""
+    rows = packed.groupBy(F.floor(F.col("window_no") / size).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("window_no", "ids"))).alias("x"))
+    cut = lambda at: F.transform("x", lambda w: F.slice(w["ids"], at, F.size(w["ids"]) - 1).cast("array<int>"))
+    return rows.select("batch", cut(1).alias("inputs"), cut(2).alias("targets"))
+
+
+def epoch_batches(spark: SparkSession, count: int, size: int, seed: int, epoch: int, first: int = 0) -> DataFrame:
+    """(batch, slot, window_no): an epoch's order of windows, numpy's permutation of `count` by seed + epoch, in batches of `size` from batch `first` on; the last may be smaller. A
+    number a window: that is what the driver holds."""
+    order = np.random.default_rng(seed + epoch).permutation(count) if count > 0 else np.zeros(0, np.int64)
+    at = np.arange(first * size, max(first * size, count))
+    return spark.createDataFrame(pd.DataFrame({"batch": at // size, "slot": at % size, "window_no": order[at]}).astype("int64"), "batch long, slot long, window_no long")
+
+
+def gather(packed: DataFrame, order: DataFrame) -> DataFrame:
+    """(batch, slot, window_no, ids): the windows that an order asks for."""
+    return order.join(packed.select("window_no", "ids"), "window_no").select("batch", "slot", "window_no", "ids")
+
+
 def frequencies(tokens: DataFrame, token: str = "token") -> DataFrame:
     return tokens.groupBy(token).agg(F.count("*").alias("n"))
 
 
+def dense_frequencies(tokens: DataFrame, vocab_size: int, token: str = "token") -> DataFrame:
+    """(token, n) of every id below vocab_size, 0 for those that do not occur."""
+    ids = tokens.sparkSession.range(vocab_size).select(F.col("id").alias(token))
+    return ids.join(frequencies(tokens, token), token, "left").select(token, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def split_counts(tokens: DataFrame, test: Column, token: str = "token") -> DataFrame:
+    """(token, n, m): counts outside and inside the test part, in one pass."""
+    return tokens.groupBy(token).agg(F.count_if(~test).alias("n"), F.count_if(test).alias("m"))
+
+
+def loss_of_counts(counts: DataFrame, vocab_size: int | None = None) -> DataFrame:
+    """loss: mean of -ln((n + 1) / (N + V)) over the m test tokens of counts (token, n, m); and its perplexity. V: the tokens with n > 0, unless given."""
+    counts = written(counts, "counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    loss = F.try_divide(F.sum(F.col("m") * -F.log((F.col("n") + 1) / F.lit(float(n + (vocab_size or v))))), F.sum("m"))
+    out = counts.where("m > 0").agg(loss.alias("loss"), F.coalesce(F.sum("m"), F.lit(0)).alias("test_tokens"))
+    return out.withColumn("perplexity", perplexity(F.col("loss")))
+
+
 def unigram_loss(train: DataFrame, test: DataFrame, vocab_size: int | None = None, token: str = "token") -> DataFrame:
-    """loss: mean of -ln((c + 1) / (N + V)) over the test tokens; and its perplexity. Test tokens are counted by type before the join."""
-    c = frequencies(train, token)
-    n, v = (x or 0 for x in c.agg(F.sum("n"), F.count("*")).first())
-    v = vocab_size or v
-    t = frequencies(test, token).withColumnRenamed("n", "m").join(c, token, "left")
-    loss = F.sum(F.col("m") * -F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v)))) / F.sum("m")
-    return t.agg(loss.alias("loss"), F.coalesce(F.sum("m"), F.lit(0)).alias("test_tokens")).withColumn("perplexity", perplexity(F.col("loss")))
+    """loss_of_counts over two tables of tokens."""
+    both = train.select(F.col(token), F.lit(False).alias("_test")).unionByName(test.select(F.col(token), F.lit(True).alias("_test")))
+    return loss_of_counts(split_counts(both, F.col("_test"), token), vocab_size)
+
+
+def weighted_mean(batches: DataFrame, loss: str = "loss", rows: str = "rows") -> DataFrame:
+    """The mean loss of batches by how many rows they have; null without rows."""
+    return batches.agg(F.try_divide(F.sum(F.col(loss) * F.col(rows)), F.sum(rows)).alias("loss"), F.coalesce(F.sum(rows), F.lit(0)).alias("rows"))
 
 
 def role_mask(tokens: DataFrame, window: list[str], pos: str, token: str, me, other, turn_end) -> DataFrame:
@@ -66,24 +110,43 @@ def masked_mean(tokens: DataFrame, loss: str, mask: str = "mask") -> DataFrame:
     return tokens.agg(F.avg(F.when(F.col(mask), F.col(loss))).alias("loss"), F.count_if(mask).alias("tokens"))
 
 
+def gram_rows(stream: DataFrame, most: int = 16, block: int = 4096) -> DataFrame:
+    """(at, ids): a stream (pos, token) in rows of `block` tokens and the most - 1 that follow, so that every run of `most` tokens lies in some row. `at` is the first token's place."""
+    b = F.floor(F.col("pos") / block)
+    homes = F.when((F.col("pos") % block < most - 1) & (b > 0), F.array(b - 1, b)).otherwise(F.array(b))
+    rows = stream.select("pos", "token", F.explode(homes).alias("b")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    return rows.select((F.col("b") * block).alias("at"), F.transform("x", lambda x: x["token"]).alias("ids"))
+
+
+def known_grams(train: DataFrame, n: int, ids: str = "ids", first: int | None = None) -> DataFrame:
+    """(g): the distinct n-grams of train; with `first`, of its first so many positions, of which `at` tells each row's first."""
+    g = train.select(*([F.col("at")] if first is not None else []), F.posexplode(grams(F.col(ids), n)).alias("i", "g"))
+    return (g.where(F.col("at") + F.col("i") < first) if first is not None else g).select("g").distinct()
+
+
 def ngram_overlap(train: DataFrame, generated: DataFrame, key: str, n: int, ids: str = "ids", first: int | None = None) -> DataFrame:
-    """By generated row: possible (n-gram positions) and matched (positions whose n-gram is in train). `first` takes that many positions of train alone."""
-    grams_of = lambda df: F.explode(grams(F.col(ids), n))
-    known = train.select(grams_of(train).alias("g"))
-    known = (known.limit(first) if first else known).distinct()
-    g = generated.select(key, grams_of(generated).alias("g"))
-    hits = g.join(known, "g", "left_semi").groupBy(key).agg(F.count("*").alias("matched"))
-    possible = generated.groupBy(key).agg(F.sum(F.greatest(F.size(ids) - (n - 1), F.lit(0))).cast("long").alias("possible"))
+    """By generated row: possible (n-gram positions) and matched (positions whose n-gram is in train). `first`: see known_grams. Few known n-grams (counted) go to all executors, and
+    the generated ones are then not shuffled."""
+    known = written(known_grams(train, n, ids, first), "grams")
+    if known.count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    hits = generated.select(key, F.explode(grams(F.col(ids), n)).alias("g")).join(known, "g", "left_semi").groupBy(key).agg(F.count("*").alias("matched"))
+    possible = generated.select(key, F.greatest(F.size(ids) - (n - 1), F.lit(0)).cast("long").alias("possible")).groupBy(key).agg(F.sum("possible").alias("possible"))
     return possible.join(hits, key, "left").select(key, "possible", F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
+def overlap_totals(overlaps: dict[int, DataFrame]) -> DataFrame:
+    """(size, possible, matched): the sums by size."""
+    parts = [df.agg(F.coalesce(F.sum("possible"), F.lit(0)).alias("possible"), F.coalesce(F.sum("matched"), F.lit(0)).alias("matched")).select(F.lit(n).alias("size"), "possible", "matched") for n, df in sorted(overlaps.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def longest_match(overlaps: dict[int, DataFrame]) -> DataFrame:
-    """The largest of the sizes at which anything matched, or 0, and the totals by size as one row."""
-    parts = None
-    for n, df in sorted(overlaps.items()):
-        one = df.agg(F.lit(n).alias("n"), F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.agg(F.coalesce(F.max(F.when(F.col("matched") > 0, F.col("n"))), F.lit(0)).alias("longest_match"))
+    """The largest of the sizes at which anything matched, or 0."""
+    return overlap_totals(overlaps).agg(F.coalesce(F.max(F.when(F.col("matched") > 0, F.col("size"))), F.lit(0)).alias("longest_match"))
 
 
 def softmax(scores: DataFrame, key: str, score: str, temperature: float) -> DataFrame:
@@ -107,6 +170,16 @@ def top_p(probabilities: DataFrame, key: str, p: float) -> DataFrame:
     return x.where((F.col("_c") - F.col("p") < p) | (F.col("_r") == 1)).drop("_c", "_r")
 
 
+def weighted_draw(probabilities: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, idx): one entry of each key, drawn by its probability p: the first at which the running sum, in the order of idx, is above a number in [0, 1) that a hash
+    of seed and key gives. Sums that end short of that number by rounding give the last entry with a probability."""
+    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    o = W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    x = probabilities.where("p > 0").withColumn("_c", F.sum("p").over(o)).withColumn("_u", u)
+    hit = F.min(F.when(F.col("_c") > F.col("_u"), F.col("idx")))
+    return x.groupBy(key).agg(F.coalesce(hit, F.max("idx")).alias("idx"))
+
+
 def select_model(candidates: DataFrame, train_tokens: int, ratio: float = 10.0, enough: int = 1_000_000) -> DataFrame:
     """candidates: (place, name, vocab, hidden, layers, intermediate, tied). The largest with `ratio` tokens a parameter, else the first."""
     c = candidates.withColumn("parameters", parameter_count(*[F.col(x) for x in ("vocab", "hidden", "layers", "intermediate", "tied")]))

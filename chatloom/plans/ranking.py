@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .written import written
 
 
-def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Adds each row's 0-based place in the order of all rows, nulls last. Rows are dealt by range, sorted and written; only the sizes of the ranges (one number a
-    partition) are summed up in one place. `order` should be total; rank narrow rows, and join what is wide back to them."""
+def _ranges(df: DataFrame, order: tuple[str, ...], size) -> DataFrame:
+    """df dealt by range, sorted and written, with _p, _m (the place within the range) and _at: the sum of `size` over all ranges before. Only the ranges' sums, one number a
+    partition, meet in one place."""
     cols = [F.col(c).asc_nulls_last() for c in order]
     dealt = written(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_m", 33)
-    sizes, at, rows = sorted(dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()), 0, [(-1, 0)]
-    for p, n in sizes:
+    dealt = dealt.withColumn("_p", F.shiftright("_m", 33).cast("int"))
+    at, rows = 0, [(-1, 0)]
+    for p, n in sorted(dealt.groupBy("_p").agg(F.sum(size).cast("long")).collect()):
         rows.append((p, at))
-        at += n
-    offsets = df.sparkSession.createDataFrame(rows, "_p int, _at long")
-    return dealt.withColumn("_p", part.cast("int")).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_at") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_m")
+        at += n or 0
+    return dealt.join(F.broadcast(df.sparkSession.createDataFrame(rows, "_p int, _at long")), "_p")
+
+
+def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """Adds each row's 0-based place in the order of all rows, nulls last. `order` should be total; rank narrow rows, and join what is wide back to them."""
+    ranked = _ranges(df, order, F.lit(1))
+    return ranked.withColumn(name, F.col("_at") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_m")
+
+
+def global_offset(df: DataFrame, *order: str, size: str, name: str = "at") -> DataFrame:
+    """Adds the sum of `size` over all rows before, in that order."""
+    before = F.sum(size).over(W.partitionBy("_p").orderBy("_m").rowsBetween(W.unboundedPreceding, -1))
+    return _ranges(df, order, F.col(size)).withColumn(name, F.col("_at") + F.coalesce(before, F.lit(0))).drop("_p", "_at", "_m")

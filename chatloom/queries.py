@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .functions.ids import hash_shaped, pads, pseudonym
 from .functions.scalars import epoch2001_to_unix_ns, learning_rate
-from .functions.text import has_pii, normalize, redact
+from .functions.text import delta, has_pii, normalize, redact
+from .functions.tokens import encode_splits
+from .model import scoring
 from .operators import audit, extract, sessions, split, stats
+from .plans.ranking import global_rank
 from .schema import DAY_NS, MINUTE_NS
 
 KEY = b"0123456789abcdef0123456789abcdef"
@@ -172,7 +176,7 @@ def document_messages(spark, d):
     return docs.select(ids["message_id"].alias("message_id"), ids["chat_id"].alias("chat_id"), F.col("doc_id").alias("timestamp_ns"), F.when(F.col("doc_id") % 7 == 0, "bot").otherwise("me").alias("sender_role"), who.alias("participant_id"), "text", F.lit(False).alias("has_attachment"), F.lit(False).alias("is_group"), F.lit("x").alias("service"))
 
 
-@query(f"SELECT count(*) AS records, 0::BIGINT AS unexpected_schema_records, count(*) FILTER (WHERE doc_id % 10 = 0) AS invalid_hashed_identifier_records, count(*) FILTER (WHERE doc_id % 7 = 0) AS invalid_role_records, count(*) FILTER (WHERE {PII_SQL}) AS obvious_pii_records, false AS passed FROM documents")
+@query(f"SELECT count(*) AS records, count(*) FILTER (WHERE len(array_distinct(['chat_id', 'has_attachment', 'is_group', 'message_id', 'participant_id', 'sender_role', 'service', 'text', 'timestamp_ns'])) <> 9) AS unexpected_schema_records, count(*) FILTER (WHERE doc_id % 10 = 0) AS invalid_hashed_identifier_records, count(*) FILTER (WHERE doc_id % 7 = 0) AS invalid_role_records, count(*) FILTER (WHERE {PII_SQL}) AS obvious_pii_records, count(*) > 0 AND count(*) FILTER (WHERE doc_id % 10 = 0 OR doc_id % 7 = 0 OR {PII_SQL}) = 0 AS passed FROM documents")
 def privacy_audit(spark, d):
     return audit.privacy_audit(document_messages(spark, d))
 
@@ -222,14 +226,20 @@ def order_tables(spark, d) -> dict[str, DataFrame]:
     k = F.col("o_orderkey")
     text = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, "  ").when(k % 17 == 0, "￼").otherwise(F.col("o_orderpriority"))
     message = o.select(k.alias("ROWID"), F.concat(F.lit("g"), k.cast("string")).alias("guid"), text.alias("text"), F.when(k % 22 == 0, F.col("o_orderstatus").cast("binary")).alias("attributedBody"), (F.col("o_orderstatus") == "F").cast("long").alias("is_from_me"), F.col("o_custkey").alias("handle_id"), F.lit(700000000).cast("long").alias("date"), (k % 19 == 0).cast("long").alias("is_deleted"), F.when(k % 23 == 0, 2000).alias("associated_message_type"), (k % 29 == 0).cast("long").alias("item_type"))
-    first = li.where("l_linenumber <= 2")
-    return {"message": message, "handle": read(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("ROWID"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("id")), "chat_message_join": first.select(F.col("l_suppkey").alias("chat_id"), F.col("l_orderkey").alias("message_id")), "message_attachment_join": li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("attachment_id")), "chat_handle_join": read(spark, d, "supplier").select(F.col("s_suppkey").alias("chat_id"), F.col("s_nationkey").alias("handle_id")).unionByName(read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("chat_id"), F.col("s_nationkey").alias("handle_id")))}
+    # Every seventh order has a handle that no customer row has; some customers have no name; every second supplier's chat has two members.
+    message = message.withColumn("handle_id", F.when(F.col("ROWID") % 7 == 0, -F.col("handle_id")).otherwise(F.col("handle_id")))
+    handle = read(spark, d, "customer").select(F.col("c_custkey").alias("ROWID"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise("").alias("id"))
+    two = F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    members = read(spark, d, "supplier").select(F.col("s_suppkey").alias("chat_id"), "s_nationkey", two.alias("k")).select("chat_id", F.col("s_nationkey").alias("handle_id"))
+    attachments = li.select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("attachment_id"), "l_returnflag").where("l_returnflag = 'R'").drop("l_returnflag")
+    return {"message": message, "handle": handle, "chat_message_join": li.select(F.col("l_suppkey").alias("chat_id"), F.col("l_orderkey").alias("message_id")), "message_attachment_join": attachments, "chat_handle_join": members}
 
 
 ORDER_CTES = """WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'),
-c AS (SELECT l_orderkey AS k, min(l_suppkey) AS chat FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
-m AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS own, o_custkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN '' ELSE o_orderpriority END AS t, o_orderkey % 22 = 0 AS blob, a.k IS NOT NULL AS att, chat, coalesce(chat % 2 = 0 AND s_suppkey IS NOT NULL, false) AS grp FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN c ON c.k = o_orderkey LEFT JOIN supplier ON s_suppkey = chat),
+c AS (SELECT l_orderkey AS k, min(l_suppkey) AS chat FROM lineitem GROUP BY 1),
+m AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS own, CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS handle, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN '' ELSE o_orderpriority END AS t, o_orderkey % 22 = 0 AS blob, a.k IS NOT NULL AS att, chat, coalesce(chat % 2 = 0 AND s_suppkey IS NOT NULL, false) AS grp FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN c ON c.k = o_orderkey LEFT JOIN supplier ON s_suppkey = chat),
 x AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'excluded_deleted' WHEN k % 23 = 0 THEN 'excluded_reaction' WHEN k % 29 = 0 THEN 'excluded_system_event' WHEN t IS NULL AND NOT blob AND att THEN 'excluded_attachment_only' WHEN t IS NULL AND NOT blob THEN 'excluded_unrecoverable_body' WHEN t = '' AND NOT (blob AND t IS NULL) THEN 'excluded_empty_after_normalization' ELSE 'retained' END AS disposition FROM m)"""
+WHO_SQL = "CASE WHEN c_custkey % 3 <> 0 THEN c_name WHEN c_custkey IS NOT NULL THEN CAST(c_custkey AS VARCHAR) WHEN handle <> 0 THEN CAST(handle AS VARCHAR) ELSE 'unknown' END"
 
 
 def classified_orders(spark, d):
@@ -241,12 +251,12 @@ def disposition_accounting(spark, d):
     return classified_orders(spark, d).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
-@query(f"{ORDER_CTES} SELECT count(*) AS total_rows, count(*) FILTER (WHERE disposition = 'retained') AS retained_rows, count(*) FILTER (WHERE disposition = 'retained' AND own) AS outgoing_rows, count(*) FILTER (WHERE disposition = 'retained' AND t IS NULL) AS recovered_attributed_body, true AS all_rows_accounted_for, round(count(*) FILTER (WHERE disposition = 'retained') / count(*) FILTER (WHERE disposition IN ('retained', 'excluded_unrecoverable_body')), 9) AS body_recovery_rate FROM x")
+@query(f"{ORDER_CTES} SELECT count(*) AS total_rows, count(*) FILTER (WHERE disposition = 'retained') AS retained_rows, count(*) FILTER (WHERE disposition = 'retained' AND own) AS outgoing_rows, count(*) FILTER (WHERE disposition = 'retained' AND t IS NULL) AS recovered_attributed_body, count(*) = count(*) FILTER (WHERE disposition = 'retained') + count(*) FILTER (WHERE disposition LIKE 'excluded%') AS all_rows_accounted_for, round(count(*) FILTER (WHERE disposition = 'retained') / count(*) FILTER (WHERE disposition IN ('retained', 'excluded_unrecoverable_body')), 9) AS body_recovery_rate FROM x")
 def recovery_rate(spark, d):
     return extract.accounting(classified_orders(spark, d)).select("total_rows", "retained_rows", "outgoing_rows", "recovered_attributed_body", "all_rows_accounted_for", F.round("body_recovery_rate", 9).alias("body_recovery_rate"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 3 <> 0 THEN c_name END, CASE WHEN o_custkey <> 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'unknown' END) AS handle_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+@query(f"{ORDER_CTES} SELECT k AS o_orderkey, {WHO_SQL} AS handle_name FROM m LEFT JOIN customer ON c_custkey = handle")
 def lookup_fallback_join(spark, d):
     return classified_orders(spark, d).select(F.col("ROWID").alias("o_orderkey"), F.col("handle_name"))
 
@@ -266,7 +276,7 @@ def group_flag(spark, d):
     return classified_orders(spark, d).groupBy("is_group").agg(F.count("*").alias("n"))
 
 
-@query(f"{ORDER_CTES}, y AS (SELECT *, coalesce(CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 3 <> 0 THEN c_name END, CASE WHEN o_custkey <> 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'unknown' END) AS who FROM x LEFT JOIN customer ON c_custkey = o_custkey WHERE disposition = 'retained') SELECT {_hmac("('g' || k)", 'message')} AS message_id, {_hmac("CASE WHEN chat <> 0 THEN CAST(chat AS VARCHAR) ELSE 'unknown' END", 'chat')} AS chat_id, 1678307200000000000 AS timestamp_ns, CASE WHEN own THEN 'me' ELSE 'other' END AS sender_role, {_hmac("CASE WHEN own THEN 'me' ELSE who END", 'participant')} AS participant_id, att AS has_attachment, grp AS is_group, 'unknown' AS service FROM y")
+@query(f"{ORDER_CTES}, y AS (SELECT *, {WHO_SQL} AS who FROM x LEFT JOIN customer ON c_custkey = handle WHERE disposition = 'retained') SELECT {_hmac("('g' || k)", 'message')} AS message_id, {_hmac("CASE WHEN chat <> 0 THEN CAST(chat AS VARCHAR) ELSE 'unknown' END", 'chat')} AS chat_id, 1678307200000000000 AS timestamp_ns, CASE WHEN own THEN 'me' ELSE 'other' END AS sender_role, {_hmac("CASE WHEN own THEN 'me' ELSE who END", 'participant')} AS participant_id, att AS has_attachment, grp AS is_group, 'unknown' AS service FROM y")
 def canonical_messages(spark, d):
     return extract.canonical(classified_orders(spark, d), KEY).drop("text")
 
@@ -315,7 +325,7 @@ def shift_targets(spark, d):
 @query(f"WITH w AS (SELECT doc_id % 10 = 0 AS test, unnest({WORD_SQL}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM w WHERE NOT test GROUP BY 1), s AS (SELECT sum(n) AS n, count(*) AS v FROM c), l AS (SELECT avg(-ln((coalesce(c.n, 0) + 1) / (s.n + s.v))) AS loss, count(*) AS k FROM w LEFT JOIN c USING (token), s WHERE test) SELECT round(loss, 6) AS loss, k AS test_tokens, round(exp(least(loss, 50)), 3) AS perplexity FROM l")
 def unigram_loss(spark, d):
     w = word_docs(spark, d).select((F.col("doc_id") % 10 == 0).alias("test"), F.explode("ids").alias("token"))
-    out = stats.unigram_loss(w.where("not test"), w.where("test"))
+    out = stats.loss_of_counts(stats.split_counts(w, F.col("test")))
     return out.select(F.round("loss", 6).alias("loss"), "test_tokens", F.round("perplexity", 3).alias("perplexity"))
 
 
@@ -411,13 +421,109 @@ def lr_schedule(spark, d):
     return spark.range(1000).select(F.col("id").alias("step"), F.round(learning_rate(F.col("id"), 1000, 100, 3e-4, 3e-5), 12).alias("rate"))
 
 
-@query("WITH m AS (SELECT o_orderkey AS step, round(o_totalprice, 2) AS loss FROM orders WHERE o_orderkey <= 400), b AS (SELECT *, min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM m), i AS (SELECT *, coalesce(loss < pb, true) AS improved FROM b), g AS (SELECT *, sum(improved::INT) OVER (ORDER BY step) AS g FROM i), s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY step) - 1 AS stale FROM g) SELECT step, least(loss, coalesce(pb, loss)) AS best, improved, stale::INTEGER AS stale FROM s WHERE step <= coalesce((SELECT min(step) FROM s WHERE stale >= 50), step)")
+@query("WITH m AS (SELECT o_orderkey AS step, round(o_totalprice, 2) AS loss FROM orders), b AS (SELECT *, min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM m), i AS (SELECT *, coalesce(loss < pb, true) AS improved FROM b), g AS (SELECT *, sum(improved::INT) OVER (ORDER BY step) AS g FROM i), s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY step) - 1 AS stale FROM g) SELECT step, least(loss, coalesce(pb, loss)) AS best, improved, stale::INTEGER AS stale FROM s WHERE step <= coalesce((SELECT min(step) FROM s WHERE stale >= 50), step)")
 def early_stopping(spark, d):
     m = read(spark, d, "orders").select(F.col("o_orderkey").alias("step"), F.round("o_totalprice", 2).alias("loss"))
     return stats.early_stopping(m, 50).select("step", "best", "improved", "stale")
 
 
-@query("SELECT n_regionkey AS gate, count(*) AS checks, count(*) FILTER (WHERE n_nationkey % 7 = 0) AS failed, NOT bool_or(n_nationkey % 7 = 0) AS passed FROM nation GROUP BY 1")
+REPORTS = ("bool_and(disposition <> '') AS accounted", "count(*) FILTER (WHERE disposition = 'retained') / count(*) FILTER (WHERE disposition IN ('retained', 'excluded_unrecoverable_body')) >= 0.9 AS recovered")
+
+
+@query(f"{ORDER_CTES}, r AS (SELECT {', '.join(REPORTS)} FROM x), o AS (SELECT count(*) > 0 AS filled FROM x WHERE disposition = 'retained'), gc AS (SELECT 'b' AS gate, unnest([accounted, recovered, filled]) AS ok FROM r, o UNION ALL SELECT 'd', unnest([true, false])) SELECT gate, count(*) AS checks, count(*) FILTER (WHERE NOT ok) AS failed, bool_and(ok) AS passed FROM gc GROUP BY 1")
 def gate_audit(spark, d):
-    n = read(spark, d, "nation")
-    return audit.gates(n.select(F.col("n_regionkey").alias("gate"), F.col("n_name").alias("check"), (F.col("n_nationkey") % 7 != 0).alias("ok")))
+    """Gates over the accounting of the message adapter, and over two sets of files of which one is complete."""
+    r = extract.accounting(classified_orders(spark, d))
+    checks = F.array(*[F.struct(F.lit("b").alias("gate"), F.lit(n).alias("check"), c.alias("ok")) for n, c in (("accounted", F.col("all_rows_accounted_for")), ("recovered", F.col("body_recovery_rate") >= 0.9), ("filled", F.col("retained_rows") > 0))])
+    files = spark.createDataFrame([("d", "whole", ["a", "b", "c"], ["b", "a"]), ("d", "part", ["a"], ["b", "a"])], "gate string, check string, present array<string>, required array<string>")
+    both = r.select(F.explode(checks).alias("c")).select("c.*").unionByName(files.select("gate", "check", audit.subset(F.col("required"), F.col("present")).alias("ok")))
+    return audit.gates(both)
+
+
+@query(f"{SPLIT_CTES}, sp AS (SELECT split, count(*) AS sessions, min(start_ns)::BIGINT AS first_ns, max(end_ns)::BIGINT AS last_ns FROM x WHERE split <> 'guard' GROUP BY 1), sh AS (SELECT count(*) FILTER (WHERE n > 1) AS shared FROM (SELECT count(DISTINCT split) AS n FROM x WHERE split <> 'guard' GROUP BY content_hash)) SELECT (SELECT count(*) FROM v) AS input_sessions, (SELECT count(*) FROM v) - (SELECT count(*) FROM x) AS duplicates_removed, (SELECT count(*) FROM x WHERE split = 'guard') AS guarded_sessions, shared AS cross_split_duplicate_hashes, (SELECT string_agg(split || ':' || sessions || ':' || first_ns || ':' || last_ns, ',' ORDER BY split) FROM sp) AS splits FROM sh")
+def split_full_report(spark, d):
+    s = sessions.build_sessions(event_messages(spark, d))
+    out = split.full_report(s, split.chrono_split(s, guard_ns=360 * MINUTE_NS))
+    each = F.transform(F.map_entries("splits"), lambda e: F.concat_ws(":", e["key"], e["value"]["sessions"].cast("string"), e["value"]["first_ns"].cast("string"), e["value"]["last_ns"].cast("string")))
+    return out.withColumn("splits", F.array_join(each, ","))
+
+
+@query(f"WITH {LENGTHS_SQL}, c AS (SELECT token, count(*) AS n FROM (SELECT unnest(ids) AS token FROM w) GROUP BY 1) SELECT range AS token, coalesce(n, 0) AS n FROM range(64) LEFT JOIN c ON token = range")
+def dense_frequencies(spark, d):
+    return stats.dense_frequencies(length_docs(spark, d).select(F.explode("ids").alias("token")), 64)
+
+
+@query(f"{WINDOW_SQL} SELECT window_no // 16 AS batch, string_agg(array_to_string(ids[1:64], ' '), '/' ORDER BY window_no) AS inputs, string_agg(array_to_string(ids[2:65], ' '), '/' ORDER BY window_no) AS targets FROM z GROUP BY 1")
+def stacked_batches(spark, d):
+    b = stats.batched(stats.windows(stats.token_stream(length_docs(spark, d), "doc_id"), 64), 16)
+    return b.select("batch", *[F.array_join(F.transform(c, lambda w: F.array_join(F.transform(w, lambda x: x.cast("string")), " ")), "/").alias(c) for c in ("inputs", "targets")])
+
+
+@query(f"{WINDOW_SQL} SELECT window_no AS key, array_to_string(ids[1:32], ' ') AS prompt FROM z WHERE window_no < 20")
+def first_prompts(spark, d):
+    """The feature is the first 20 windows."""
+    p = scoring.prompts_of(stats.windows(stats.token_stream(length_docs(spark, d), "doc_id"), 64), 64, 20)
+    return p.select("key", F.array_join(F.transform("prompt", lambda x: x.cast("string")), " ").alias("prompt"))
+
+
+def epoch_order(spark, d):
+    """Windows of the corpus in the order of an epoch: numpy's permutation, which SQL has not. Tests hold it against numpy."""
+    w = stats.windows(stats.token_stream(length_docs(spark, d), "doc_id"), 64)
+    return stats.gather(w, stats.epoch_batches(spark, w.count(), 32, 42, 1)).select("batch", "slot", "window_no")
+
+
+query()(epoch_order)
+
+
+@query("WITH m AS (SELECT conv_id AS k, count(*) AS rows, avg(length(text)) AS loss FROM conversations GROUP BY 1) SELECT round(sum(loss * rows) / sum(rows), 9) AS loss, sum(rows)::BIGINT AS rows FROM m")
+def weighted_loss(spark, d):
+    m = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("rows"), F.avg(F.length("text")).alias("loss"))
+    return stats.weighted_mean(m).select(F.round("loss", 9).alias("loss"), "rows")
+
+
+def _totals_sql(n: int) -> str:
+    return f"SELECT {n} AS size, possible, matched FROM ({_gram_sql(n)} SELECT sum(greatest(len(ids) - {n - 1}, 0))::BIGINT AS possible, coalesce(sum(matched), 0)::BIGINT AS matched FROM d LEFT JOIN h USING (doc_id))"
+
+
+@query(f"{_totals_sql(8)} UNION ALL {_totals_sql(16)}")
+def memorization_totals(spark, d):
+    return stats.overlap_totals({n: overlap(spark, d, n) for n in (8, 16)})
+
+
+@query(f"WITH {LENGTHS_SQL}, p AS (SELECT doc_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM w), q AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM p), g AS (SELECT pos, list(token) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM q) SELECT count(DISTINCT g) AS known FROM g WHERE len(g) = 8 AND pos < 10000")
+def first_grams(spark, d):
+    """The feature is the first positions of the stream, here 10,000 of them."""
+    rows = stats.gram_rows(stats.token_stream(length_docs(spark, d), "doc_id"), 8)
+    return stats.known_grams(rows, 8, first=10_000).agg(F.count("*").alias("known"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN starts_with(text, before) THEN substr(text, length(before) + 1) ELSE text END AS delta FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN left(text, 4) ELSE lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS before FROM conversations)")
+def text_deltas(spark, d):
+    before = F.when(F.col("turn") % 3 == 0, F.left("text", F.lit(4))).otherwise(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    return read(spark, d, "conversations").withColumn("before", before).select("conv_id", "turn", delta(F.col("before"), F.col("text")).alias("delta"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
+def scan_order(spark, d):
+    """The places of rows in a scan by date and row id."""
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("date"))
+    return global_rank(o, "date", "o_orderkey", name="place").select("o_orderkey", "place")
+
+
+def weighted_draws(spark, d):
+    """A draw for each row by its probabilities; the numbers come from a hash that SQL has not. Tests hold the shares against the probabilities."""
+    return stats.weighted_draw(stats.top_p(stats.softmax(logits(spark, d), "vec_id", "score", 0.8), "vec_id", 0.9), "vec_id", 42)
+
+
+query()(weighted_draws)
+
+
+def byte_token_counts(spark, d):
+    """Sessions of the conversations as byte-level BPE ids, counted by split: no SQL has that encoding. A test holds it against the library."""
+    import public_tokenizers
+
+    s = sessions.build_sessions(chat_messages(spark, d)).withColumn("split", F.when(F.crc32(F.col("session_id").cast("binary")) % 10 == 0, "test").otherwise("train"))
+    return stats.token_report(encode_splits(s, public_tokenizers.path("byte_bpe_50k.json")), "split")
+
+
+query()(byte_token_counts)

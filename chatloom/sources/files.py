@@ -105,9 +105,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Keys in sorted order, nulls kept."""
+def check_jsonl(path: str | Path) -> int:
+    """Reads one local file of JSON objects, one a line, and gives their count; a line that is none is a ValueError with its number."""
+    n = 0
+    with open(path, encoding="utf-8") as f:
+        for number, line in enumerate(f, 1):
+            if line.strip():
+                try:
+                    whole = isinstance(json.loads(line), dict)
+                except json.JSONDecodeError:
+                    whole = False
+                if not whole:
+                    raise ValueError(f"{path}, line {number}: not a JSON object")
+                n += 1
+    return n
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", private: bool = False) -> None:
+    """Keys in sorted order, nulls kept. Private, on a local file system: the folder 0700, its files 0600."""
     df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    if private:
+        Path(path).chmod(0o700)
+        for f in Path(path).iterdir():
+            f.chmod(0o600)
 
 
 def append_metric(df: DataFrame, path: str) -> None:
