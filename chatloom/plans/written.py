@@ -51,6 +51,21 @@ def discard(*tables: DataFrame) -> None:
                 del _left[path]
 
 
+def left_over() -> set[str]:
+    """Paths of the tables that are written and not discarded."""
+    return set(_left)
+
+
+def discard_paths(paths: set[str], but_those_under: DataFrame) -> set[str]:
+    """Deletes written tables, except those that a table still reads; gives these."""
+    reads = [f.split(":", 1)[-1] for f in but_those_under.inputFiles()] if paths else []
+    needed = {p for p in paths if any(p.split(":", 1)[-1].lstrip("/") in f for f in reads)}
+    for p in paths - needed:
+        if spark := _left.pop(p, None):
+            _delete(spark, p)
+    return needed
+
+
 @atexit.register
 def _sweep() -> None:
     for path, spark in _left.items():
