@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +63,40 @@ def numbered(docs: DataFrame, **named: str) -> DataFrame:
     return materialize(packed(docs, **named).withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Rows of a few longs that a join may send to all executors: 16 to 32 MB. And edges that one task joins up.
+BROADCAST_ROWS, FEW_EDGES = 1 << 20, 1 << 17
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, marked for broadcast if it has at most BROADCAST_ROWS rows; else it is left to a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root) of all edges (u, v), by union and find."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for b in batches:
+        for u, v in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
+            a, c = find(up.setdefault(u, u)), find(up.setdefault(v, v))
+            up[max(a, c)] = min(a, c)
+    yield pd.DataFrame({"node": np.array(list(up), dtype=np.int64), "root": np.array([find(x) for x in up], dtype=np.int64)})
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b) as (node, root), root the smallest node reached; nodes without edges are absent.
 
-    Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest chain, and a
+    At most `few` edges are joined up in one task. More take alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest chain, and a
     node's neighbours are only ever reduced to their minimum, so a hub never meets in one task. All is done when no node has edges both up and down.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() <= few:
+        return e.coalesce(1).mapInPandas(_join_up, "node long, root long")
     for _ in range(max_rounds):
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         by_node = ends.groupBy("node").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.sum("up").alias("n"))

@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, numbered, quoted, split_words, table
+from .common import components, discard, if_small, materialize, numbered, quoted, split_words, table
 
 SMALL, PIVOTS, SEED = 24, 8, 42
 #: Radius of the covering tables that are tried first when a similarity is asked for.
-FIRST_RADIUS = 4
+FIRST_RADIUS = 2
 #: For the order of shingles: about so many texts are sampled, and so many shingles at most that OFTEN of them or more have come last.
-SAMPLED, OFTEN, COMMON = 16384, 4, 1 << 18
+SAMPLED, OFTEN, COMMON = 8192, 3, 1 << 18
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -167,14 +167,14 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, si
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "hs": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
 
-    texts = rows.select("rid", "text").join(nodes.join(asked, "node", "left_semi").select("node", "rid"), "rid").select("node", "text")
+    asked = materialize(nodes.select("node", "rid").join(asked, "node", "left_semi"), "asked")
+    texts = rows.select("rid", "text").join(if_small(asked), "rid").select("node", "text")
     sets = materialize(texts.mapInPandas(run, "node long, hs array<long>"), "sets")
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a")
     both, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
     out = materialize(x.where(both >= similarity * (total - both) - 1e-9).select("a", "b"), "found")
-    for old in (pairs, sets):
-        discard(old)
+    discard(pairs, asked, sets)
     return out
 
 
@@ -193,15 +193,15 @@ def led_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     return met.groupBy("node").agg(F.min(F.struct(-F.col("n"), "o", "b")).alias("m")).select(F.col("node").alias("a"), F.col("m.b").alias("b"))
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, rid, fp, size, prefix), rid that of a row
-    with the text; rows: (rid, text)."""
+def similar_links(nodes: DataFrame, prefixes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, rid, fp), rid that of a row
+    with the text; prefixes: (rid, size, prefix); rows: (rid, text)."""
     found = _similar(led_pairs(nodes, FIRST_RADIUS), nodes, rows, words, similarity)
     root = materialize(components(found), "roots")
-    by_key = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    counts = by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = materialize(by_key.join(counts, "key"), "buckets")
-    trash = [member]
+    by_key = prefixes.select("rid", "size", "prefix").join(if_small(nodes.select("node", "rid")), "rid").select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    counts = materialize(by_key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    member = materialize(by_key.join(if_small(counts), "key"), "buckets")
+    trash = [counts, member]
 
     def rooted(x: DataFrame) -> DataFrame:
         return x.select("key", "node", "pos", "size").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -239,8 +239,7 @@ def similar_links(nodes: DataFrame, rows: DataFrame, words: int, similarity: flo
     groups = groups.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "pos", "size", "root"))).alias("g"))
     pair = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.size("g")), lambda y: _may_be(x, y, similarity)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     out = linked(groups.select(F.explode(pair).alias("p")).select("p.a", "p.b"))
-    for old in [*trash, root]:
-        discard(old)
+    discard(*trash, root)
     return out
 
 
@@ -251,11 +250,10 @@ def _grouped(rows: DataFrame, words: int, radius: int, similarity: float | None)
         nodes = materialize(fps.select("node").distinct(), "nodes")
     else:
         fps = materialize(_prefixes(rows, words, similarity).withColumn("node", F.xxhash64("name")), "prefixes")
-        nodes = fps.groupBy("node").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in ("fp", "size", "prefix")])
-        nodes = materialize(nodes, "nodes")
+        nodes = materialize(fps.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp")), "nodes")
     same_id = fps.where("doc is not null").select("doc", "node").distinct()
     again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
-    edges = links(nodes, radius) if similarity is None else similar_links(nodes, rows, words, similarity)
+    edges = links(nodes, radius) if similarity is None else similar_links(nodes, fps, rows, words, similarity)
     both = edges.unionByName(same_id.join(again, "doc").select("a", F.col("node").alias("b")).where("a <> b"))
     roots = materialize(components(both), "roots")
     out = fps.select("doc", "rid", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -277,8 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The smallest id by root, for roots of several nodes; most texts are alone with theirs.
     low = grouped.groupBy("root").agg(F.min("doc").alias("component"))
     out = materialize(grouped.join(low, "root").select("doc", F.col("node").alias("fp"), "component"), "classes")
-    for old in trash + ([rows] if similarity is not None else []):
-        discard(old)
+    discard(*trash, *([rows] if similarity is not None else []))
     return out
 
 
@@ -288,10 +285,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = numbered(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
     grouped, trash = _grouped(rows, words, radius, similarity)
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("m")
-    keep = materialize(grouped.groupBy("root").agg(first).select("m.rid"), "kept")
-    for old in trash:
-        discard(old)
-    return rows.join(keep, "rid", "left_semi").select("row.*")
+    keep = grouped.groupBy("root").agg(first).select(F.col("m.rid").alias("rid"))
+    gone = materialize(grouped.select("rid").join(keep, "rid", "left_anti"), "gone")  # fewer than those that stay
+    discard(*trash)
+    return rows.join(if_small(gone), "rid", "left_anti").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.llm import line_dedup, line_rules, merkle, mixing, mtree, packing, pitman_yor, quality, simhash, url_filter
+from chatloom.llm import common, line_dedup, line_rules, merkle, mixing, mtree, packing, pitman_yor, quality, simhash, url_filter
 
 NEAR = {"words": 5, "similarity": 0.8}
 LONG = " ".join(f"long{i % 977}" for i in range(6000))
@@ -68,6 +68,22 @@ def test_fingerprint_brute():
         assert simhash.fingerprint(h) == simhash._signed(want)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few):
+    """A long chain, a hub, repeated edges and loops, by star rounds and in one task."""
+    rng = random.Random(3)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    hub = [(5, 1000 + i) for i in range(50)]
+    pairs = chain + hub + [(7, 7), (3, 2), (2, 3)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    rng.shuffle(pairs)
+    root = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    got = common.components(spark.createDataFrame(pairs, "a long, b long"), few).collect()
+    assert {r.node: r.root for r in got} == {k: v for k, v in root.items() if any(k in p for p in pairs if p[0] != p[1])} and len(got) == len({r.node for r in got})
+
+
 @pytest.mark.parametrize("radius", [2, 4])
 def test_simhash_crowds(spark, radius):
     """A crowd of near fingerprints, more than a bucket compares pair by pair."""
@@ -411,8 +427,88 @@ def test_pitman_yor(spark):
     assert pitman_yor.score_texts(frame(spark, rows).limit(0)).count() == 0
 
 
+def partitions(n):
+    """(sizes, how many ways) of the partitions of n customers to tables."""
+    def of(left, most):
+        if not left:
+            yield ()
+        for k in range(min(left, most), 0, -1):
+            for rest in of(left - k, k):
+                yield (k, *rest)
+
+    for sizes in of(n, n):
+        ways = math.factorial(n)
+        for k in sizes:
+            ways //= math.factorial(k)
+        for m in Counter(sizes).values():
+            ways //= math.factorial(m)
+        yield sizes, ways
+
+
+def test_gibbs_against_enumeration():
+    """The mean number of tables of each dish, and of the root's, against the sum over all seatings."""
+    d, d0, theta, pairs, base = 0.5, 0.6, 1.0, {(0, 1): 3, (0, 2): 2, (1, 1): 2, (1, 2): 1}, 1 / 3
+    sums, total, root_sum = Counter(), 0.0, 0.0
+
+    def block(sizes, disc):
+        return math.prod(j - disc for k in sizes for j in range(1, k))
+
+    def seatings(keys):
+        if not keys:
+            yield {}, 1.0
+            return
+        for sizes, ways in partitions(pairs[keys[0]]):
+            for rest, w in seatings(keys[1:]):
+                yield {keys[0]: len(sizes), **rest}, w * ways * block(sizes, d)
+
+    for tables, w in seatings(list(pairs)):
+        for u in (1, 2):
+            w *= math.prod(theta + d * i for i in range(sum(t for (_, x), t in tables.items() if x == u)))
+        up = [sum(t for (word, _), t in tables.items() if word == k) for k in (0, 1)]
+        for s0, w0 in partitions(up[0]):
+            for s1, w1 in partitions(up[1]):
+                n = len(s0) + len(s1)
+                weight = w * w0 * w1 * block(s0, d0) * block(s1, d0) * math.prod(theta + d0 * i for i in range(n)) * base**n / math.prod(theta + i for i in range(sum(up)))
+                total += weight
+                root_sum += weight * n
+                for k, t in tables.items():
+                    sums[k] += weight * t
+    words = np.array([3, 9], dtype=np.uint64)
+    keys = pitman_yor._pack(words, np.array([2, 2], "<u2"), np.array([1, 2, 1, 2], "<u2"), np.array([3, 2, 2, 1], "<u2"))
+    none = np.zeros(0, dtype=np.int64)
+    model = {"n": 8, "v": 2, "base": base, "d": d, "d0": d0, "customers": np.array([0.0, 5, 3]), "heavy_names": none, "heavy_total": none}
+    model["after"] = [{"tables": np.array([0.0, 2, 2]), "root": 4.0, "root_tables": 2.0, "heavy": none, "heavy_tables": none}]
+    s, seen, root, n = pitman_yor._State(0, keys, model), np.zeros(4), 0, 4000
+    for k in range(1, n + 1):
+        s.run_to(k)
+        _, by, _ = s.counts()
+        tables = np.zeros(3)
+        tables[by["k"]] = by["t"]
+        model["after"].append({"tables": tables, "root": float(s.t.sum()), "root_tables": float(s.root.t.sum()), "heavy": none, "heavy_tables": none})
+        assert (s.root.c == np.bincount(s.token, s.t, minlength=2)).all() and (s.seats.c == s.c[s.many]).all() and abs(s.customers - s.t.sum()) < 1e-9 or k == 1
+        seen, root = seen + s.t, root + s.root.t.sum()
+        p = s.predict(k)
+        unseen = (theta + d0 * s.root.t.sum()) * base / (theta + s.t.sum())
+        for u in (0, 1):  # the predictive probabilities of all dishes of a context, with all others, sum to one
+            t_u, c_u = tables[u + 1], model["customers"][u + 1]
+            assert abs(p[u] + p[u + 2] + (theta + d * t_u) / (theta + c_u) * unseen - 1) < 1e-9
+    want = [sums[k] / total for k in ((0, 1), (0, 2), (1, 1), (1, 2))]
+    assert np.abs(seen / n - want).max() < 0.04 and abs(root / n - root_sum / total) < 0.06, (seen / n, want, root / n, root_sum / total)
+
+
 def test_seats():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 50, 1000])
     t = np.mean([pitman_yor.reseat(c, np.full(5, 0.5), 0.5, rng) for _ in range(200)], axis=0)
     assert t[0] == 0 and t[1] == 1 and 1 < t[2] < 1.6 and t[2] < t[3] < t[4] < 60
+    seats = pitman_yor.Seats(np.array([5, 1, 300]), np.array([2, 1, 40]))
+    for _ in range(300):
+        rows = np.flatnonzero(rng.random(3) < 0.7)
+        if rng.random() < 0.5:
+            rows = rows[seats.c[rows] > 0]
+            seats.leave(rows, rng)
+        else:
+            seats.join(rows, np.full(len(rows), 3.0), 0.5, rng)
+        for i in range(3):
+            own = seats.size[seats.start[i] : seats.end[i]]
+            assert own.sum() == seats.c[i] and (own[: seats.t[i]] > 0).all() and not own[seats.t[i] :].any()
