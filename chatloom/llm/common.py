@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,9 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def packed(docs: DataFrame, **named: str) -> DataFrame:
-    """docs with every column in one struct `row`, beside the columns given by name: nothing that an operator adds can clash with what came in."""
-    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), *[quoted(c).alias(n) for n, c in named.items()])
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with every column in one struct `row`: nothing that an operator adds can clash with what came in."""
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"))
 
 
 def free_names(docs: DataFrame, names: list[str]) -> list[str]:
@@ -59,12 +60,26 @@ def free_names(docs: DataFrame, names: list[str]) -> list[str]:
 
 
 def numbered(docs: DataFrame, **named: str) -> DataFrame:
-    """packed() with rid, a number that tells rows apart even where all columns are equal. Written out, so that it means the same row whenever and wherever it is read."""
-    return materialize(packed(docs, **named).withColumn("rid", F.monotonically_increasing_id()), "rows")
-
-
-#: Rows of a few longs that a join may send to all executors: 16 to 32 MB. And edges that one task joins up.
-BROADCAST_ROWS, FEW_EDGES = 1 << 20, 1 << 17
+    """packed() with rid, a number that tells rows apart even where all columns are equal, and columns of docs under given names. Written out, so that rid means the same row
+    whenever and wherever it is read; the named columns are read from the struct and not stored twice."""
+    rows = materialize(packed(docs).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    return rows.select("rid", "row", *[F.col("row")[c].alias(n) for n, c in named.items()])
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Rows of whole texts go to Python workers so many at a time, in what is computed inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+#: Rows of a few longs that a join may send to all executors: 4 to 16 MB. And edges that one task joins up.
+BROADCAST_ROWS, FEW_EDGES = 1 << 18, 1 << 17
 
 
 def if_small(table: DataFrame) -> DataFrame:

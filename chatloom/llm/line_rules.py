@@ -244,7 +244,7 @@ def apply_rules(docs: DataFrame, field: Field, text_col: str = "text", share: fl
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    out = packed(docs, text=text_col).withColumn("judged", judge(F.col("text")))
+    out = packed(docs).withColumn("judged", judge(F.col("row")[text_col]))
     return out.select("row.*", *[F.col("judged")[c].alias(n) for c, n in zip(names, free_names(docs, names), strict=True)])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import free_names, packed, quoted, table
 
-DIM, SAMPLE, EPOCHS, BATCH, RATE, DECAY, THRESHOLD, CACHE, FEWEST_DOCS = 1 << 18, 8192, 12, 128, 1.0, 1e-3, 0.5, 400_000, 8
+DIM, SAMPLE, EPOCHS, BATCH, RATE, DECAY, THRESHOLD, CACHE, FEWEST_DOCS = 1 << 18, 8192, 12, 128, 1.0, 1e-3, 0.5, 150_000, 8
 SYMBOLS = frozenset(b"#*$%&|<>!")
 
 
@@ -166,7 +166,7 @@ def grade(docs: DataFrame, model: Ordinal, text_col: str = "text", threshold: fl
         return pd.DataFrame({"n_words": n, "expected_grade": tails.sum(axis=1), "clean": tails[:, 1]})
 
     g, names = F.col("graded"), free_names(docs, ["n_words", "expected_grade", "clean", "kept"])
-    out = packed(docs, text=text_col).withColumn("graded", score(F.col("text")))
+    out = packed(docs).withColumn("graded", score(F.col("row")[text_col]))
     results = (g["n_words"], g["expected_grade"], g["clean"], (g["clean"] >= threshold) & (g["n_words"] > 0))
     return out.select("row.*", *[r.alias(n) for r, n in zip(results, names, strict=True)])
 

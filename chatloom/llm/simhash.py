@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, if_small, materialize, numbered, quoted, split_words, table
+from .common import components, discard, if_small, materialize, numbered, quoted, small_batches, split_words, table
 
 SMALL, PIVOTS, SEED = 24, 8, 42
 #: Radius of the covering tables that are tried first when a similarity is asked for.
 FIRST_RADIUS = 2
 #: For the order of shingles: about so many texts are sampled, and so many shingles at most that OFTEN of them or more have come last.
 SAMPLED, OFTEN, COMMON = 8192, 3, 1 << 18
+#: Texts whose shingles a Python worker holds at once.
+SLICE = 256
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -103,6 +105,12 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return found
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for a in range(0, len(b), SLICE):
+            yield b.iloc[a : a + SLICE]
+
+
 def set_name(h: np.ndarray) -> list[int]:
     """128 bits that name a set of shingles, as two signed longs; zeros for the empty set."""
     raw = h.tobytes()
@@ -120,8 +128,9 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pd.DataFrame({"h": np.unique(shingle_hashes(t, words)).view(np.int64)})
 
     often = some.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    got = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in got], dtype=np.int64).view(np.uint64), np.array([r.n for r in got], dtype=np.int64)
+    with small_batches(rows.sparkSession):
+        got = often.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -150,7 +159,7 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     keep = lambda n: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             sets = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
             first = [in_order(h, *common)[: keep(len(h))].view(np.int64) for h in sets]
             yield pd.DataFrame({"doc": b["doc"], "rid": b["rid"], "name": [set_name(h) for h in sets], "fp": list(map(fingerprint, sets)), "size": [len(h) for h in sets], "prefix": first})
@@ -164,12 +173,13 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, si
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             yield pd.DataFrame({"node": b["node"], "hs": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
 
     asked = materialize(nodes.select("node", "rid").join(asked, "node", "left_semi"), "asked")
     texts = rows.select("rid", "text").join(if_small(asked), "rid").select("node", "text")
-    sets = materialize(texts.mapInPandas(run, "node long, hs array<long>"), "sets")
+    with small_batches(rows.sparkSession):
+        sets = materialize(texts.mapInPandas(run, "node long, hs array<long>"), "sets")
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
     x = x.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a")
     both, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
@@ -245,11 +255,12 @@ def similar_links(nodes: DataFrame, prefixes: DataFrame, rows: DataFrame, words:
 
 def _grouped(rows: DataFrame, words: int, radius: int, similarity: float | None) -> tuple[DataFrame, list[DataFrame]]:
     """(doc, rid, node, root) of rows (doc, rid, text), and the tables under it. root names the component; rows with equal ids share what they reach."""
+    with small_batches(rows.sparkSession):
+        raw = _fingerprints(rows, words) if similarity is None else _prefixes(rows, words, similarity).withColumn("node", F.xxhash64("name"))
+        fps = materialize(raw, "fingerprints")
     if similarity is None:
-        fps = materialize(_fingerprints(rows, words), "fingerprints")
         nodes = materialize(fps.select("node").distinct(), "nodes")
     else:
-        fps = materialize(_prefixes(rows, words, similarity).withColumn("node", F.xxhash64("name")), "prefixes")
         nodes = materialize(fps.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp")), "nodes")
     same_id = fps.where("doc is not null").select("doc", "node").distinct()
     again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
