@@ -20,6 +20,9 @@ NEAR = {"words": 5, "similarity": 0.8}
 
 
 _behind: set[str] = set()
+#: Whole texts go to Python workers so many rows at a time, which keeps executors' memory low. Set for the session, as results are computed after a stage has returned them;
+#: a session that has its own number keeps it.
+BATCH, BATCH_KEY, SPARKS_OWN = "512", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def stage(f: Callable) -> Callable:
@@ -28,6 +31,8 @@ def stage(f: Callable) -> Callable:
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH_KEY) == SPARKS_OWN:
+            spark.conf.set(BATCH_KEY, BATCH)
         keep = discard_paths(_behind, docs)
         before = left_over()
         out = f(spark, docs, sf_dir)
