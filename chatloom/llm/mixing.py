@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.ranking import global_rank
-from .common import discard, materialize, numbered, quoted, table, word_count
+from .common import discard, if_small, materialize, packed, quoted, table, word_count
 
 SEED = 42
 
@@ -78,10 +78,12 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     return take
 
 
-def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
-    """mix() of rows (rid, doc, text, source)."""
+def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """rows (rid, doc, size, source) with source_size, target and copies, and the tables under it. What decides is a row for each length of each source, and the few rows that are ranked:
+    `rows` itself, which may carry texts, is not shuffled while those are small."""
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("="), F.col("source").cast("string"))).otherwise(F.lit("~"))
-    sized = materialize(rows.select("rid", "doc", key.alias("key"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc")).alias("o")), "sized")
+    rows = rows.withColumn("key", key).withColumn("o", F.xxhash64(F.lit(seed), F.col("doc"))).withColumn("sub", F.shiftright("o", 52))
+    sized = materialize(rows.select("rid", "key", "size", "o", "sub"), "sized")
     hist = materialize(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "lengths")
     sources = global_rank(hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "key")
     weight = F.array(*[F.lit(float(w)) for w in weights])[(F.col("rank") % len(weights)).cast("int")]
@@ -96,19 +98,21 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: float,
     fitted = hist.where("size > 0").join(budgets.select("key", "rest"), "key").groupBy("key").applyInPandas(fit, "key string, size long, n long, k long")
     fitted = materialize(fitted, "fitted")
     # Of each length, the k first by hash: whole ranges of the hash are taken until one range must be cut, and rows are ranked in that alone.
-    some = sized.join(fitted.where("k > 0 and k < n").select("key", "size", "k"), ["key", "size"]).withColumn("sub", F.shiftright("o", 52))
+    some = sized.join(fitted.where("k > 0 and k < n").select("key", "size", "k"), ["key", "size"])
     subs = some.groupBy("key", "size", "k", "sub").agg(F.count("*").alias("c"))
     subs = subs.withColumn("upto", F.sum("c").over(W.partitionBy("key", "size").orderBy("sub").rowsBetween(W.unboundedPreceding, 0)))
-    subs = materialize(subs.where(F.col("upto") - F.col("c") < F.col("k")).withColumn("cut", F.when(F.col("upto") > F.col("k"), F.col("k") - F.col("upto") + F.col("c"))).select("key", "size", "sub", "cut"), "ranges")
-    marked = some.select("rid", "key", "size", "sub", "o").join(subs, ["key", "size", "sub"])
-    ranked = marked.where("cut is not null").withColumn("r", F.row_number().over(W.partitionBy("key", "size", "sub").orderBy("o", "rid"))).where("r <= cut")
-    picked = marked.where("cut is null").select("rid").unionByName(ranked.select("rid")).withColumn("picked", F.lit(1))
-    every = fitted.where("k = n").select("key", "size", F.lit(1).alias("every"))
-    out = sized.join(picked, "rid", "left").join(every, ["key", "size"], "left").join(budgets.select("key", "source_size", "target", "whole"), "key")
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("picked", "every", F.lit(0))).otherwise(0)
-    out = materialize(out.select("rid", "doc", "size", "source_size", "target", copies.cast("long").alias("copies")), "mixed")
-    discard(sized, hist, sources, fitted, subs)
-    return out
+    # The first range that holds more than are still to be taken; k < n, so there is one.
+    cut = materialize(subs.where("upto > k and upto - c <= k").select("key", "size", "sub", (F.col("k") - F.col("upto") + F.col("c")).alias("cut")), "ranges")
+    ranked = sized.join(cut.where("cut > 0"), ["key", "size", "sub"]).withColumn("r", F.row_number().over(W.partitionBy("key", "size", "sub").orderBy("o", "rid")))
+    last = materialize(ranked.where("r <= cut").select("rid", F.lit(1).alias("last")), "last")
+    rules = hist.select("key", "size").join(budgets.select("key", "source_size", "target", "whole"), "key")
+    rules = rules.join(fitted.select("key", "size", (F.col("k") == F.col("n")).alias("every")), ["key", "size"], "left")
+    rules = materialize(rules.join(cut.select("key", "size", F.col("sub").alias("below")), ["key", "size"], "left"), "rules")
+    out = rows.join(if_small(rules), ["key", "size"]).join(if_small(last), "rid", "left")
+    first = F.col("every") | (F.col("sub") < F.col("below"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.coalesce(first, F.lit(False)), 1).otherwise(F.coalesce("last", F.lit(0)))).otherwise(0)
+    discard(sized, hist, sources, fitted, cut)
+    return out.withColumn("copies", copies.cast("long")), [rules, last]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
@@ -118,16 +122,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     equal ids are rows of their own; which of them is taken is immaterial, as they differ in nothing that counts. Other columns take no part,
     whatever their names. No rows give none. Of one length of one source, only documents in the one range of hashes (1 in 4096) that is cut through are ranked.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), quoted(id_col).alias("doc"), quoted(text_col).alias("text"), quoted(source_col).alias("source"))
-    return _mixed(rows, weights, share, most, seed)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), quoted(id_col).alias("doc"), word_count(quoted(text_col)).alias("size"), quoted(source_col).alias("source"))
+    rows = materialize(rows, "rows")
+    out, under = _mixed(rows, weights, share, most, seed)
+    out = materialize(out.select("rid", "doc", "size", "source_size", "target", "copies"), "mixed")
+    discard(rows, *under)
+    return out
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
     """docs with each row as often as mix() takes it, and docs' own columns and values, whatever their names. Rows are numbered once, in a written copy, so that
     what is counted is what is taken."""
-    rows = numbered(docs, doc=id_col, text=text_col, source=source_col)
-    taken = _mixed(rows.select("rid", "doc", "text", "source"), weights, share, most, seed).where("copies > 0").select("rid", "copies")
-    return rows.join(taken, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    rows = materialize(packed(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("size", word_count(F.col("row")[text_col])), "rows")
+    rows = rows.select("rid", "row", "size", F.col("row")[id_col].alias("doc"), F.col("row")[source_col].alias("source"))
+    taken, _ = _mixed(rows, weights, share, most, seed)
+    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,10 @@ that a sample of texts finds often come last, so that few texts meet by them. On
 are not compared. Where over SMALL texts meet by a shingle, some of them (pivots, those with most links first, eight times as many each round) are compared with all
 others there that are not connected to them, and only they leave (only texts that could be as similar to one of their own size by it need be pivots): a text that was merely reached by a link stays to be a pivot, as others may be reached
 through it alone. A shingle is done with when all its texts are connected, or pair by pair when SMALL are left.
+
+Most pairs that meet are not similar, and whole sets beside each pair would be many times the input. So each set has a parity map, about a bit or two for each shingle: whether
+an odd number of its hashes end in those bits. Sets differ in no fewer shingles than their maps in bits, so a pair whose maps differ in too many cannot be similar; only what
+passes is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -117,6 +121,24 @@ def set_name(h: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(raw, SEED + k)) for k in (0, 1)] if len(h) else [0, 0]
 
 
+def parity_map(h: np.ndarray) -> bytes:
+    """A bit for each ending of the hashes of a set (as many endings as a power of two that is no less than the set): whether an odd number of them have it."""
+    bits = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def map_distance(a: bytes, b: bytes) -> int:
+    """In how many bits two parity maps differ, the longer one folded to the length of the other: no more than the shingles in which the sets differ."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many of a sample of texts have, ascending, and their counts. They only order shingles: no result depends on them."""
     step = max(1, rows.count() // SAMPLED)
@@ -154,7 +176,7 @@ def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc, rid, name, fp, size, prefix): the name, fingerprint and size of the text's set of shingles, and the first of them that a similar set must meet."""
+    """(doc, rid, name, fp, size, parity, prefix): the name, fingerprint, size and parity map of the text's set of shingles, and the first of them that a similar set must meet."""
     common = _common(rows, words)
     keep = lambda n: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
@@ -162,14 +184,30 @@ def _prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
         for b in _slices(batches):
             sets = [np.unique(shingle_hashes(t, words)) for t in b["text"]]
             first = [in_order(h, *common)[: keep(len(h))].view(np.int64) for h in sets]
-            yield pd.DataFrame({"doc": b["doc"], "rid": b["rid"], "name": [set_name(h) for h in sets], "fp": list(map(fingerprint, sets)), "size": [len(h) for h in sets], "prefix": first})
+            yield pd.DataFrame({"doc": b["doc"], "rid": b["rid"], "name": [set_name(h) for h in sets], "fp": list(map(fingerprint, sets)), "size": [len(h) for h in sets], "parity": list(map(parity_map, sets)), "prefix": first})
 
-    return rows.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, name array<long>, fp long, size int, prefix array<long>")
+    return rows.select("doc", "rid", "text").mapInPandas(run, "doc long, rid long, name array<long>, fp long, size int, parity binary, prefix array<long>")
+
+
+def _passing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are not ruled out by the sizes and parity maps of their nodes (node, size, parity)."""
+
+    @F.pandas_udf("boolean")
+    def may(ma: pd.Series, mb: pd.Series, total: pd.Series) -> pd.Series:
+        most = total * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return pd.Series([map_distance(x, y) <= m for x, y, m in zip(ma, mb, most, strict=True)], dtype=bool)
+
+    maps = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("parity").alias(f"m{c}"))
+    x = pairs.join(maps("b"), "b").where("nb > 0").join(maps("a"), "a")
+    x = x.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    return x.where(may("ma", "mb", F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """The distinct pairs (a, b) whose texts' shingle sets have at least the given Jaccard similarity. Of the texts, one row for each node in a pair is read again."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    with small_batches(rows.sparkSession):
+        pairs = materialize(_passing(pairs, nodes, similarity), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +242,7 @@ def led_pairs(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, prefixes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, rid, fp), rid that of a row
+    """Links (a, b) of at least the given similarity, as many as connect what all such links would. nodes: (node, rid, fp, size, parity), rid that of a row
     with the text; prefixes: (rid, size, prefix); rows: (rid, text)."""
     found = _similar(led_pairs(nodes, FIRST_RADIUS), nodes, rows, words, similarity)
     root = materialize(components(found), "roots")
@@ -261,7 +299,7 @@ def _grouped(rows: DataFrame, words: int, radius: int, similarity: float | None)
     if similarity is None:
         nodes = materialize(fps.select("node").distinct(), "nodes")
     else:
-        nodes = materialize(fps.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp")), "nodes")
+        nodes = materialize(fps.groupBy("node").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in ("fp", "size", "parity")]), "nodes")
     same_id = fps.where("doc is not null").select("doc", "node").distinct()
     again = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc", "a")
     edges = links(nodes, radius) if similarity is None else similar_links(nodes, fps, rows, words, similarity)

@@ -172,6 +172,32 @@ def test_similar_star(spark):
     assert [r.component for r in sorted(got, key=lambda r: r.doc)] == want
 
 
+def test_similar_maps_rule_out(spark, monkeypatch):
+    """Texts that meet by a common passage and are unlike otherwise are not compared shingle by shingle; a parity map never tells more than the difference of the sets."""
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 64, 65, 500, 3000):
+        for m in (n, int(n * 0.9), 2 * n):
+            both = np.unique(rng.integers(0, 1 << 64, size=n + m, dtype=np.uint64))
+            a, b = np.sort(rng.permutation(both)[:n]), np.sort(rng.permutation(both)[: max(1, m)])
+            assert simhash.map_distance(simhash.parity_map(a), simhash.parity_map(b)) <= len(np.setxor1d(a, b))
+    assert simhash.map_distance(simhash.parity_map(a[:0]), simhash.parity_map(a[:0])) == 0
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, size=n)]
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + word(60)) for _ in range(30)]
+    texts += [t + " more" for t in texts[:3]]
+    written, keep = Counter(), simhash.materialize
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        written[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = simhash.near_duplicates(frame(spark, list(enumerate(texts))), **NEAR).collect()
+    assert {r.doc: r.component for r in got} == {i: i % 30 for i in range(33)}
+    assert written["pairs"] <= 6 and written["sets"] <= 12  # they were hundreds
+
+
 def test_similar_pairs_of_all_lengths(spark):
     """Pairs at the similarity itself or just below it, from two words to hundreds."""
     rng = random.Random(3)
@@ -206,6 +232,20 @@ def test_mixing(spark):
     assert abs(sum(r.copies * r["size"] for r in out) - 0.5 * 9003) <= 1
 
 
+def test_mix_leaves_texts_where_they_are(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join("w" * rng.randrange(1, 60))) for i in range(300)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taken = mixing.take_mix(frame(spark, rows))
+        plan = taken._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert taken.count() == sum(r.copies for r in mixing.mix(frame(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fit_lengths():
     rng = np.random.default_rng(1)
     for _ in range(60):
