@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +21,8 @@ CHECKSUM = (1 << 63) - 1
 FIRST_GRAMS = 2_000_000
 #: Distinct n-grams that a join may send to all executors (at 16 numbers each, some 40 MB).
 BROADCAST_GRAMS = 1 << 18
+#: Rows of an epoch's order that a task hands on at a time.
+EPOCH_ROWS = 1 << 18
 
 
 def token_report(docs: DataFrame, by: str, ids: str = "ids") -> DataFrame:
@@ -50,12 +56,30 @@ def batched(packed: DataFrame, size: int) -> DataFrame:
     return rows.select("batch", cut(1).alias("inputs"), cut(2).alias("targets"))
 
 
+def _permuted(count: int, seed: int, folder: str) -> np.ndarray:
+    """numpy's permutation of `count` by a seed, in a file of `folder`: the system keeps as much of it in memory as it has room for. Narrow numbers where they do; the draws are the same."""
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    order = np.memmap(f"{folder}/order", dtype=np.int32 if count < 1 << 31 else np.int64, mode="w+", shape=(count,)).view(np.ndarray)
+    for at in range(0, count, EPOCH_ROWS):
+        order[at : at + EPOCH_ROWS] = np.arange(at, min(count, at + EPOCH_ROWS))
+    np.random.default_rng(seed).shuffle(order)
+    return order
+
+
 def epoch_batches(spark: SparkSession, count: int, size: int, seed: int, epoch: int, first: int = 0) -> DataFrame:
-    """(batch, slot, window_no): an epoch's order of windows, numpy's permutation of `count` by seed + epoch, in batches of `size` from batch `first` on; the last may be smaller. A
-    number a window: that is what the driver holds."""
-    order = np.random.default_rng(seed + epoch).permutation(count) if count > 0 else np.zeros(0, np.int64)
-    at = np.arange(first * size, max(first * size, count))
-    return spark.createDataFrame(pd.DataFrame({"batch": at // size, "slot": at % size, "window_no": order[at]}).astype("int64"), "batch long, slot long, window_no long")
+    """(batch, slot, window_no): an epoch's order of windows, numpy's permutation of `count` by seed + epoch, in batches of `size` from batch `first` on; the last may be smaller. Each
+    draw depends on those before, so one task makes the order, in a file of its own temp folder, and hands it on in slices. The driver holds none of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            with tempfile.TemporaryDirectory() if len(b) else contextlib.nullcontext("") as folder:
+                order = _permuted(count if len(b) else 0, seed + epoch, folder)
+                for start in range(first * size, len(order), EPOCH_ROWS):
+                    at = np.arange(start, min(len(order), start + EPOCH_ROWS))
+                    yield pd.DataFrame({"batch": at // size, "slot": at % size, "window_no": order[at].astype(np.int64)})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "batch long, slot long, window_no long")
 
 
 def gather(packed: DataFrame, order: DataFrame) -> DataFrame:

@@ -151,6 +151,17 @@ def test_resume_is_exact(spark, tmp_path):
     assert kept and again["initialized_from_checkpoint"] and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
 
 
+def test_epoch_order_stays_off_the_driver(spark, monkeypatch):
+    """The order is numpy's over several slices, and neither the driver's numpy nor a local table makes it."""
+    want = np.random.default_rng(45).permutation(600_000)
+    monkeypatch.setattr(np.random, "default_rng", None)
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    rows = stats.epoch_batches(spark, 600_000, 32, 42, 3, 2)
+    monkeypatch.undo()
+    got = rows.orderBy("batch", "slot").toPandas()
+    assert got["window_no"].tolist() == want[64:].tolist() and got["batch"].tolist() == (np.arange(64, 600_000) // 32).tolist()
+
+
 def test_epoch_batches(spark):
     rows = stats.epoch_batches(spark, 11, 4, 42, 3, 1).orderBy("batch", "slot").collect()
     order = np.random.default_rng(45).permutation(11)
