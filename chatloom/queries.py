@@ -49,10 +49,16 @@ def event_messages(spark: SparkSession, d: str) -> DataFrame:
 EVENTS_CTE = "m AS (SELECT format('{:012d}', event_id) AS message_id, CAST(user_id AS VARCHAR) AS chat_id, epoch_us(ts) * 1000 AS timestamp_ns, CASE WHEN event_type = 'click' THEN 'me' ELSE 'other' END AS sender_role, event_type AS participant_id, event_type AS text, user_id % 2 = 0 AS is_group FROM events)"
 
 
+#: The last whole day that nanoseconds in a long can tell.
+LAST_DAY = ((1 << 63) - 1) // DAY_NS
+
+
 def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation has the day of its number, and a turn its minute. Numbers beyond LAST_DAY, which SQL cannot tell either, take the days from 0 again; chats stay apart by chat_id."""
     c = read(spark, d, "conversations")
     role = F.when(F.col("role") == "assistant", "me").otherwise("other")
-    return c.select(F.format_string("%012d", "turn").alias("message_id"), F.col("conv_id").cast("string").alias("chat_id"), (F.col("conv_id") * DAY_NS + F.col("turn") * MINUTE_NS).alias("timestamp_ns"), role.alias("sender_role"), F.col("role").alias("participant_id"), "text", F.lit(False).alias("has_attachment"), F.lit(False).alias("is_group"), F.lit("chat").alias("service"))
+    day = F.when(F.col("conv_id").between(-LAST_DAY, LAST_DAY), F.col("conv_id")).otherwise(F.col("conv_id") % 100_000)
+    return c.select(F.format_string("%012d", "turn").alias("message_id"), F.col("conv_id").cast("string").alias("chat_id"), (day * DAY_NS + F.col("turn") * MINUTE_NS).alias("timestamp_ns"), role.alias("sender_role"), F.col("role").alias("participant_id"), "text", F.lit(False).alias("has_attachment"), F.lit(False).alias("is_group"), F.lit("chat").alias("service"))
 
 
 CHATS_CTE = "m AS (SELECT format('{:012d}', turn) AS message_id, CAST(conv_id AS VARCHAR) AS chat_id, conv_id * 86400000000000 + turn * 60000000000 AS timestamp_ns, CASE WHEN role = 'assistant' THEN 'me' ELSE 'other' END AS sender_role, role AS participant_id, text, false AS is_group FROM conversations)"
