@@ -467,6 +467,42 @@ def test_pitman_yor(spark):
     assert pitman_yor.score_texts(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_pitman_yor_knows_every_context(spark, monkeypatch):
+    """No context backs off, not even one that the sample lacks: with no frequent contexts but start and end, all counts go from bucket to bucket."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(300)}"]
+        for _ in range(19):
+            words.append(f"w{(int(words[-1][1:]) * 7 + 1) % 300}" if rng.random() < 0.9 else f"w{rng.randrange(300)}")
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"a{i} b{i} c{i}") for i in range(50)]  # contexts with a single customer
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    usual = {r.doc: r for r in pitman_yor.score_texts(frame(spark, rows)).collect()}
+    monkeypatch.setattr(pitman_yor, "MOST_CONTEXTS", 0)
+    few = {r.doc: r for r in pitman_yor.score_texts(frame(spark, rows)).collect()}
+    assert len(usual) == len(few) == len(rows) and all(usual[d].base_score == few[d].base_score for d in usual)
+    for out in (usual, few):
+        many = [r for r in out.values() if r.doc < 400 and r.held_out]
+        assert sum(r.score for r in many) / sum(r.n_tokens for r in many) > -1.0 > -2.0 > sum(r.base_score for r in many) / sum(r.n_tokens for r in many)
+        # the sole customer of each of three contexts (a, b, c) that nobody else visits; by the parent alone each would have some 1 in 2000
+        once = [r for r in out.values() if r.doc >= 1000 and not held(r.doc)]
+        assert all(r.score > r.base_score + 2 for r in once)
+    assert abs(sum(r.score for r in usual.values()) / sum(r.score for r in few.values()) - 1) < 0.01
+
+
+def test_seats_are_saved():
+    rng = np.random.default_rng(2)
+    seats = pitman_yor.Seats(np.array([5, 0, 1, 300]), np.array([2, 0, 1, 40]))
+    for _ in range(50):
+        seats.join(np.array([0, 3]), np.full(2, 3.0), 0.5, rng)
+    back = pitman_yor.Seats.of(*pitman_yor._unpack(pitman_yor._pack(*seats.tables())))
+    assert (back.c == seats.c).all() and (back.t == seats.t).all() and all((x == y).all() for x, y in zip(back.tables(), seats.tables(), strict=True))
+    for a in (np.array([0, 255], "<u1"), np.array([0, 65536], "<u4"), np.array([], "<u8"), np.array([1.5, -2.0])):
+        (b,) = pitman_yor._unpack(pitman_yor._pack(a))
+        assert b.dtype == a.dtype and (a == b).all()
+
+
 def partitions(n):
     """(sizes, how many ways) of the partitions of n customers to tables."""
     def of(left, most):
