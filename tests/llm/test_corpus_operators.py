@@ -2,8 +2,10 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -491,6 +493,56 @@ def test_pitman_yor_knows_every_context(spark, monkeypatch):
     assert abs(sum(r.score for r in usual.values()) / sum(r.score for r in few.values()) - 1) < 0.01
 
 
+def test_pitman_yor_leaves_no_shuffle_files(spark):
+    """Shuffles that are over take no disk beside later ones, whether or not the JVM has collected garbage."""
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in top for f in Path(d).rglob("shuffle_*")}
+    docs = frame(spark, [(i, f"a{i % 7} b{i % 5} c") for i in range(200)])
+    before = files()
+    out = pitman_yor.score_texts(docs)
+    until = time.monotonic() + 3  # they go in the background
+    while (left := files() - before) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not left and out.count() == 200
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_pitman_yor_answers_are_counts():
+    """Probabilities that are made of a bucket's blocks are those of its seating to the last bit, and a block has far fewer bytes than they."""
+    rng = np.random.default_rng(6)
+    n_own, n_contexts, n_words = 20, 320, 300
+    key = np.unique(np.concatenate((rng.integers(n_words * n_contexts, size=6000), rng.integers(n_words, size=6000) * n_contexts + rng.integers(n_own, size=6000))))
+    token, context, c = key // n_contexts, key % n_contexts, np.minimum(rng.geometric(0.5, len(key)) - 1, 9)
+    at = lambda x: np.bincount(context, x, minlength=n_contexts)
+    words = np.where(np.arange(n_words) == 4, np.uint64(77), np.uint64(0))  # one is frequent: its counts are the driver's, of more buckets than this one
+    keys = pitman_yor._pack(words, np.bincount(token).astype("<u2"), context.astype("<u2"), c.astype("<u1"))
+    model = {"base": 1 / 301, "d": 0.7, "d0": 0.6, "customers": at(c)[:n_own], "heavy_names": np.array([77]), "heavy_total": np.array([5000.0])}
+    model["after"] = [{"tables": at(c > 0)[:n_own], "root": float((c > 0).sum()), "root_tables": 300.0, "heavy": np.array([400.0]), "heavy_tables": np.array([1.0])}]
+    met, saved, want = [pitman_yor._pack(at(c)[n_own:].astype("<u2"), at(c > 0)[n_own:].astype("<u2"))], [], 0
+    for k in (1, 2, 3):
+        s = pitman_yor._State(0, keys, model, met)
+        if saved:
+            s.load(saved[-1])
+        s.run_to(k)
+        saved.append(s.saved())
+        met.append(pitman_yor._pack(at(s.t)[n_own:].astype("<u2")))
+        model["after"].append({"tables": at(s.t)[:n_own], "root": float(s.t.sum()), "root_tables": float(s.root.t.sum()), "heavy": np.array([390.0 + k]), "heavy_tables": np.array([20.0 + k])})
+        if k > 1:
+            want = want + (s := _loaded(pitman_yor._State(0, keys, model, met), saved[-1])).predict(k) / 2
+    by_rank = np.argsort(-model["customers"], kind="stable")
+    told, blobs = s.told(saved[1:], 3), []
+    for part in (np.arange(0, 10), np.arange(10, len(key))):
+        blobs.append(told._replace(keys=told.keys[:, part]).block(token[part], context[part], np.argsort(by_rank)))
+    total, p = pitman_yor._answered(model, blobs, by_rank, [2, 3])
+    assert (p == want).all() and (total == s.total[token]).all() and (context >= n_own).any() and set(total[token == 4]) == {5000}
+    assert len(blobs[1]) < 4 * len(key)
+
+
+def _loaded(state, saved):
+    state.load(saved)
+    return state
+
+
 def test_seats_are_saved():
     rng = np.random.default_rng(2)
     seats = pitman_yor.Seats(np.array([5, 0, 1, 300]), np.array([2, 0, 1, 40]))
