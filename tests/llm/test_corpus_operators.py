@@ -530,9 +530,8 @@ def test_pitman_yor_answers_are_counts():
         if k > 1:
             want = want + (s := _loaded(pitman_yor._State(0, keys, model, met), saved[-1])).predict(k) / 2
     by_rank = np.argsort(-model["customers"], kind="stable")
-    told, blobs = s.told(saved[1:], 3), []
-    for part in (np.arange(0, 10), np.arange(10, len(key))):
-        blobs.append(told._replace(keys=told.keys[:, part]).block(token[part], context[part], np.argsort(by_rank)))
+    told = s.told(saved[1:], 3, np.argsort(by_rank))
+    blobs = [told.block(part) for part in (np.arange(0, 10), np.arange(10, len(key)))]
     total, p = pitman_yor._answered(model, blobs, by_rank, [2, 3])
     assert (p == want).all() and (total == s.total[token]).all() and (context >= n_own).any() and set(total[token == 4]) == {5000}
     assert len(blobs[1]) < 4 * len(key)
