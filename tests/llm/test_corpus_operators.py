@@ -397,6 +397,48 @@ def test_mtree_exact(spark):
         assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in top]
 
 
+def test_mtree_pages_open_for_many_queries():
+    """Products follow pages and rounds, not pages times queries, and the results are those of brute force: ties, copies, each query's own id, results carried from tree to tree."""
+
+    class Counted(np.ndarray):
+        calls = 0
+
+        def __array_ufunc__(self, ufunc, method, *args, **kw):
+            Counted.calls += ufunc is np.matmul
+            return getattr(ufunc, method)(*[a.view(np.ndarray) if isinstance(a, Counted) else a for a in args], **kw)
+
+    rng = np.random.default_rng(5)
+    x = np.unique(np.floor(rng.normal(size=(3000, 16)) * 2), axis=0)
+    sizes = rng.integers(1, 7, size=len(x))
+    ids = [sorted(part.tolist()) for part in np.split(rng.permutation(sizes.sum()), np.cumsum(sizes)[:-1])]
+    asked = rng.choice(len(x), 400, replace=False)
+    q, own = np.vstack([x[asked], np.zeros(16)]), np.array([ids[i][-1] for i in asked] + [-1])
+    best, pages = mtree.Best(len(q), 5), 0
+    for part in np.array_split(np.arange(len(x)), 2):
+        tree = mtree.build(x[part], np.random.default_rng(1))
+        at = part[tree["order"]]
+        mtree.search(tree, x[at].astype("f4").view(Counted), np.concatenate([ids[i] for i in at]), sizes[at], q, own, best, np.arange(len(q)))
+        pages += int(tree["leaf"].sum())
+    assert pages <= Counted.calls <= 6 * pages  # one by one: up to 401 x pages
+    for i in range(len(q)):
+        top = sorted((-int(s), v) for s, vs in zip(x @ q[i], ids, strict=True) for v in vs if v != own[i])[:5]
+        assert list(zip(best.score[i].tolist(), best.id[i].tolist(), strict=True)) == [(-s, v) for s, v in top]
+
+
+def test_mtree_many_trees(spark, monkeypatch):
+    """Many trees and blocks, results given out in parts; a query of zeros meets vectors so wide that their tree has no finite bounds."""
+    for name, value in (("PART", 128), ("BLOCK", 64), ("HELD", 20)):
+        monkeypatch.setattr(mtree, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    small = [(i, [float(c) / 256 for c in rng.integers(-3, 4, size=4)]) for i in range(600)] + [(1000, [0.0] * 4)]
+    wide = [(5000 + i, [1e300 * (1 + i), -1.0, 2.0, float(i)]) for i in range(1, 100)] + [(6000, [0.0, 0.0]), *((6000 + i, [1e300 * i, 1.0]) for i in range(1, 100))]
+    got = mtree.top_k(spark.createDataFrame(small + wide, "vec_id long, embedding array<double>"), F.col("id") % 40 == 0).collect()
+    ints = {i: [int(256 * c) for c in v] for i, v in small + wide}
+    for q in (i for i in ints if i % 40 == 0):
+        top = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=True)), i) for i, x in ints.items() if i != q and len(x) == len(ints[q]))[:5]
+        assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in top]
+
+
 def test_urls(spark):
     known = {(0, 4): -5.0, (4, 4): -6.0, (0, 3): -5.0}
     assert url_filter.best_split("freebets", known, -20.0) == ["free", "bets"] and url_filter.best_split("zqfree", {(2, 4): -3.0}, -9.0) == ["zq", "free"]
