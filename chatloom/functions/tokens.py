@@ -6,16 +6,21 @@ The control tokens that a file lacks are added behind its ids. The driver reads
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CONTROL_TOKENS
 
+#: Characters of texts that are encoded at a time, at least one text: the library holds over a hundred bytes for each token of what it encodes in one call.
+ENCODED_CHARS = 1 << 20
+
 
 @lru_cache(maxsize=4)
 def _parsed(text: str):
@@ -46,16 +51,32 @@ def save(path: str | Path, place: str | Path) -> Path:
     return write_text(private_dir(place) / "tokenizer.json", load(path).to_str())
 
 
+def _slices(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """texts in their order, cut before the text with which a slice would have more than `chars` characters."""
+    first, n = 0, 0
+    for i, x in enumerate(texts):
+        k = len(x or "")
+        if i > first and n + k > chars:
+            yield texts[first:i]
+            first, n = i, 0
+        n += k
+    if first < len(texts):
+        yield texts[first:]
+
+
 def encoded(text: Column, path: str | Path) -> Column:
-    """Ids of a text, an array of int: control tokens that stand in it are their ids, none are added. A null has null."""
+    """Ids of a text, an array of int: control tokens that stand in it are their ids, none are added. A null has null. Texts are encoded and handed on by slices of ENCODED_CHARS, and in
+    the task's own thread, so that neither a batch's rows nor the machine's cores decide what a worker holds."""
     held = source(path)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = _parsed(held)
         for b in batches:
-            got = iter(t.encode_batch(b.dropna().tolist(), add_special_tokens=False))
-            yield pd.Series([None if x is None else next(got).ids for x in b], dtype=object)
+            for part in _slices(b.tolist(), ENCODED_CHARS):
+                got = iter([np.array(e.ids, np.int32) for e in t.encode_batch_fast([x for x in part if x is not None], add_special_tokens=False)])
+                yield pd.Series([None if x is None else next(got) for x in part], dtype=object)
 
     return ids(text)
 

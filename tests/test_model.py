@@ -1,8 +1,11 @@
 """Tokens, the decoder, training with resume, generation, evaluation, export, gates and the command line."""
 
 import json
+import os
 import random
+import re
 import sqlite3
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -42,6 +45,33 @@ def test_tokens_against_the_library(spark, tmp_path):
     assert report == {"train": (3, sum(len(r.ids) for r in got[:3])), "test": (3, sum(len(r.ids) for r in got[3:] if r.ids))}
 
 
+def test_slices_of_texts():
+    texts = ["ab", None, "abc", "", "x" * 9, "y", None]
+    got = list(tokens._slices(texts, 5))
+    assert got == [["ab", None, "abc", ""], ["x" * 9], ["y", None]] and not list(tokens._slices([], 5)) and list(tokens._slices([None], 5)) == [[None]]
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/clear_refs"), reason="no peaks of memory to read")
+def test_encoding_holds_little(spark):
+    """A batch of 10,000 texts, 13 million characters: a worker that encodes them in one call, as before, takes 760 MB, and 190 MB by slices."""
+    psutil = pytest.importorskip("psutil")
+    text = "So many words, each with its own 1,234 tokens\n" * 28
+
+    def workers():
+        return [p for d in psutil.Process().children(recursive=True) if "pyspark.daemon" in d.cmdline() for p in d.children()]
+
+    def peak(p):
+        return int(re.search(r"VmHWM:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) / 1024
+
+    for p in workers():
+        Path(f"/proc/{p.pid}/clear_refs").write_text("5")
+    df = spark.range(0, 10_000, 1, 1).select("id", F.when(F.col("id") % 100 != 7, F.lit(text)).alias("t"))
+    r = df.select("t", tokens.encoded(F.col("t"), VOCABULARY).alias("ids")).agg(F.sum(F.size("ids")), F.count("ids"), F.count_if(F.col("t").isNull() == F.col("ids").isNull())).first()
+    assert tuple(r) == (9900 * len(tokens.load(VOCABULARY).encode(text, add_special_tokens=False).ids), 9900, 10_000)
+    peaks = [peak(p) for p in workers()]
+    assert max(peaks) < 600, peaks
+
+
 @pytest.mark.parametrize("tied", [True, False])
 def test_gradients(tied):
     """Against differences in float64; a model must not see what comes later."""
