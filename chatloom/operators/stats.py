@@ -45,6 +45,19 @@ def windows(stream: DataFrame, context: int) -> DataFrame:
     return w.where(F.size("x") == n).select("window_no", F.transform("x", lambda x: x["token"]).alias("ids"))
 
 
+def doc_windows(docs: DataFrame, key: str, context: int, ids: str = "ids") -> DataFrame:
+    """windows(token_stream(docs, key, ids), context) from documents cut into one piece for each window they reach into, instead of a row for each token. Sizes tell which windows are
+    full, so that counting them, or asking for their numbers alone, leaves the ids unread."""
+    n = context + 1
+    placed = global_offset(docs.select(key, F.size(ids).cast("long").alias("n")), key, size="n").where("n > 0").select(key, "at", "n")
+    end = F.col("at") + F.col("n")
+    cut = docs.select(key, F.col(ids).alias("ids")).join(placed, key).select("ids", "at", end.alias("end"), F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((end - 1) / n))).alias("window_no"))
+    cut = cut.withColumn("pos", F.greatest("at", F.col("window_no") * n)).withColumn("k", F.least("end", (F.col("window_no") + 1) * n) - F.col("pos"))
+    piece = F.struct("pos", F.slice("ids", (F.col("pos") - F.col("at") + 1).cast("int"), F.col("k").cast("int")).alias("piece"))
+    w = cut.groupBy("window_no").agg(F.sum("k").alias("k"), F.sort_array(F.collect_list(piece)).alias("x"))
+    return w.where(F.col("k") == n).select("window_no", F.flatten(F.transform("x", lambda x: x["piece"])).alias("ids"))
+
+
 def inputs_targets(packed: DataFrame, context: int) -> DataFrame:
     return packed.select("window_no", F.slice("ids", 1, context).alias("inputs"), F.slice("ids", 2, context).alias("targets"))
 
@@ -69,7 +82,8 @@ def _permuted(count: int, seed: int, folder: str) -> np.ndarray:
 
 def epoch_batches(spark: SparkSession, count: int, size: int, seed: int, epoch: int, first: int = 0) -> DataFrame:
     """(batch, slot, window_no): an epoch's order of windows, numpy's permutation of `count` by seed + epoch, in batches of `size` from batch `first` on; the last may be smaller. Each
-    draw depends on those before, so one task makes the order, in a file of its own temp folder, and hands it on in slices. The driver holds none of it."""
+    draw depends on those before, so one task makes the order, in a file of its own temp folder, and hands it on in slices. The driver holds none of it: Spark takes the order for as small
+    as the one row it is made from, and would send it through the driver to all executors, so it asks for merge joins."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -79,7 +93,7 @@ def epoch_batches(spark: SparkSession, count: int, size: int, seed: int, epoch:
                     at = np.arange(start, min(len(order), start + EPOCH_ROWS))
                     yield pd.DataFrame({"batch": at // size, "slot": at % size, "window_no": order[at].astype(np.int64)})
 
-    return spark.range(0, 1, 1, 1).mapInPandas(run, "batch long, slot long, window_no long")
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "batch long, slot long, window_no long").hint("merge")
 
 
 def gather(packed: DataFrame, order: DataFrame) -> DataFrame:

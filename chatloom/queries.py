@@ -474,7 +474,7 @@ def first_prompts(spark, d):
 
 def epoch_order(spark, d):
     """Windows of the corpus in the order of an epoch: numpy's permutation, which SQL has not. Tests hold it against numpy."""
-    w = stats.windows(stats.token_stream(length_docs(spark, d), "doc_id"), 64)
+    w = stats.doc_windows(length_docs(spark, d), "doc_id", 64)
     return stats.gather(w, stats.epoch_batches(spark, w.count(), 32, 42, 1)).select("batch", "slot", "window_no")
 
 

@@ -201,6 +201,27 @@ def test_epoch_batches(spark):
     assert len(got) == 11 and all(len(r.ids) == 13 for r in got)
 
 
+def test_epoch_order_is_not_broadcast(spark):
+    """Spark sends a table through the driver that it takes for small; the order is not one, neither in a query nor in training."""
+    w, order = windows_of(spark, 70, 1), stats.epoch_batches(spark, 70, 4, 42, 3)
+    for df in (stats.gather(w, order), stats.gather(w, order.where("batch > 1")), w.join(order, "window_no").orderBy("batch", "slot")):
+        n = df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert n in (70, 62) and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_doc_windows(spark):
+    """The windows of the stream of tokens, which keep their order, and their count without the ids."""
+    rng = random.Random(4)
+    for sizes in ([], [64], [65], [3, 0, 200, 61, 1], [0, 5, 5, 5, 65, 0, 64, 1, 650, 7], [rng.randrange(90) for _ in range(60)]):
+        docs = spark.createDataFrame([(k * 7 % 61, [rng.randrange(1000) for _ in range(n)]) for k, n in enumerate(sizes)] + [(99, []), (98, None)], "doc_id long, ids array<long>")
+        stream = [x for r in sorted(docs.where("ids IS NOT NULL").collect()) for x in r.ids]
+        w = stats.doc_windows(docs, "doc_id", 64)
+        got = sorted((r.window_no, r.ids) for r in w.collect())
+        assert got == [(i, stream[65 * i : 65 * i + 65]) for i in range(sum(sizes) // 65)] == sorted((r.window_no, r.ids) for r in stats.windows(stats.token_stream(docs, "doc_id"), 64).collect())
+        assert w.count() == len(got) and "collect_list" not in w.select("window_no")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_weighted_draws(spark):
     p = spark.range(4000).select(F.col("id").alias("k"), F.posexplode(F.array(F.lit(0.5), F.lit(0.0), F.lit(0.2), F.lit(0.3))).alias("idx", "p"))
     got = {r.idx: r["count"] for r in stats.weighted_draw(p, "k", 7).groupBy("idx").count().collect()}
